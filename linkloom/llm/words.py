@@ -65,3 +65,15 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = 4 << 20)
             total += size
         if start < batch.num_rows:
             yield batch.slice(start)
+
+
+def runs(keys: np.ndarray) -> np.ndarray:
+    """Starts of runs of equal keys, and the end."""
+    if not len(keys):
+        return np.zeros(1, np.int64)
+    return np.r_[0, np.flatnonzero(keys[1:] != keys[:-1]) + 1, len(keys)]
+
+
+def deal_rows(rows: list[tuple], kinds: dict[str, pa.DataType]) -> pa.RecordBatch:
+    columns = zip(*rows, strict=True) if rows else ([] for _ in kinds)
+    return pa.record_batch([pa.array(c, t) for c, t in zip(columns, kinds.values(), strict=True)], list(kinds))
