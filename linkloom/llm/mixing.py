@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from linkloom.llm.words import mix
+from linkloom.llm.words import mix, slices
 from linkloom.session import Scratch
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -171,8 +171,8 @@ def mix_sources(
 ) -> Mixture:
     """Mix the words of ``docs`` so that sources by code point (null last) get ``weights`` in turn of ``share`` times all words.
 
-    -> ``sized``: id, source_index, size, start (of the document in its source's words), source_size, target;
-    ``pieces``: shard, slot, source_index, epoch, id, start (same), from_word, words.
+    -> ``sized``: id, h (hash of the text), source_index, size, start (of the document in its source's words), source_size,
+    target; ``pieces``: shard, slot, source_index, epoch, id, h, start (same), from_word, words.
 
     A source's words are its target, rounded; the same input gives the same mix. A null or blank text has size 0
     and no pieces. Rows that repeat are documents of their own. Other columns are not looked at. The table of
@@ -199,7 +199,7 @@ def mix_sources(
     before = Window.partitionBy("source_index").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
     chunks = sized.groupBy("source_index", "chunk").agg(F.sum("size").alias("n")).select("source_index", "chunk", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
     sized = sized.withColumn("inner", F.coalesce(F.sum("size").over(in_chunk), F.lit(0))).join(chunks, ["source_index", "chunk"])
-    sized = scratch.table("places", sized.select("id", "source_index", "size", (F.col("inner") + F.col("base")).alias("start"), "source_size", "target"))
+    sized = scratch.table("places", sized.select("id", "h", "source_index", "size", (F.col("inner") + F.col("base")).alias("start"), "source_size", "target"))
 
     slots = np.array([sum(k for _, k, _ in slots_of(s, block)) for s in sources], np.int64)
     if shards is None:
@@ -213,13 +213,13 @@ def mix_sources(
     def div(x: Column) -> Column:
         return F.floor(x / F.lit(block)).cast("long")
 
-    parts = sized.where("size > 0").select("id", "source_index", "start", "size", F.explode(F.sequence(div(F.col("start")), div(F.col("start") + F.col("size") - 1))).alias("block"))
+    parts = sized.where("size > 0").select("id", "h", "source_index", "start", "size", F.explode(F.sequence(div(F.col("start")), div(F.col("start") + F.col("size") - 1))).alias("block"))
     # a part's words within its block, and the first of them within its document
     begin = F.greatest(F.col("start") - F.col("block") * block, F.lit(0))
     end = F.least(F.col("start") + F.col("size") - F.col("block") * block, F.lit(block))
-    parts = parts.select("id", "source_index", "block", "start", begin.alias("begin"), end.alias("end"), F.greatest(F.col("block") * block - F.col("start"), F.lit(0)).alias("from_word"))
+    parts = parts.select("id", "h", "source_index", "block", "start", begin.alias("begin"), end.alias("end"), F.greatest(F.col("block") * block - F.col("start"), F.lit(0)).alias("from_word"))
     met = drawn.join(parts, ["source_index", "block"]).withColumn("n", F.least("end", "words") - F.col("begin")).where("n > 0")
-    pieces = met.select("shard", "slot", "source_index", "epoch", "id", "start", "from_word", F.col("n").cast("long").alias("words"))
+    pieces = met.select("shard", "slot", "source_index", "epoch", "id", "h", "start", "from_word", F.col("n").cast("long").alias("words"))
     return Mixture(sources, sized, pieces)
 
 
@@ -229,3 +229,30 @@ def taken_by_document(mixture: Mixture) -> DataFrame:
     # documents without words share a start with the next one, and are not in the mix
     out = mixture.sized.join(taken, ["source_index", "start"], "left")
     return out.select("id", "size", "source_size", "target", F.when(F.col("size") > 0, F.coalesce("taken", F.lit(0))).otherwise(F.lit(0)).cast("long").alias("taken"))
+
+
+def _cut(columns: list[str], text: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, text):
+            out = []
+            for said, ranges in zip(batch.column(text).to_pylist(), batch.column("__ranges").to_pylist(), strict=True):
+                words = said.encode().split()
+                parts = [words[r["from_word"] : r["from_word"] + r["words"]] for r in ranges]
+                out.append(said if sum(map(len, parts)) == len(words) else b" ".join(w for p in parts for w in p).decode())
+            cols = [pa.array(out, pa.string()) if c == text else batch.column(c) for c in columns]
+            yield pa.record_batch(cols, columns)
+
+    return run
+
+
+def mixed_documents(docs: DataFrame, mixture: Mixture, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The mix as documents: ``docs`` with, for each epoch, the words of each document that the mix takes in it.
+
+    A document that is whole in an epoch keeps its text; of others the taken words are joined by one space, in order. Documents
+    that the mix takes twice come twice, those it does not take do not come. Rows that share both id and
+    text must not occur.
+    """
+    ranges = mixture.pieces.groupBy("source_index", "start", "epoch", "id", "h").agg(F.sort_array(F.collect_list(F.struct("from_word", "words"))).alias("__ranges"))
+    ranges = ranges.select(F.col("id").alias("__id"), F.col("h").alias("__h"), "__ranges")
+    met = docs.withColumn("__h", F.xxhash64(text_col)).withColumnRenamed("__h", "__hash").join(ranges, F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__hash") == F.col("__h")))
+    return met.select(*docs.columns, "__ranges").mapInArrow(_cut(docs.columns, text_col), docs.schema)
