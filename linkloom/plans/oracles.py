@@ -147,7 +147,7 @@ _ORACLES: dict[str, str] = {
     "pilot_targets": _RECORDS + """, refs AS (SELECT qid, row_number() OVER (ORDER BY entity_id) AS rid FROM q), tg AS (SELECT tid, source, row_number() OVER (PARTITION BY source ORDER BY tid) AS rid FROM t)
         SELECT tid, source, rid FROM tg WHERE rid <= 50 OR tid IN (SELECT truth.tid FROM truth JOIN refs ON truth.qid = refs.qid WHERE refs.rid <= 100)""",
     "dense_topk": """WITH v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings), s AS (SELECT a.vec_id AS qid, b.vec_id AS tid, round(list_inner_product(a.e, b.e) / (sqrt(list_inner_product(a.e, a.e)) * sqrt(list_inner_product(b.e, b.e))), 6) AS s FROM v a JOIN v b ON a.label = b.label WHERE a.vec_id % 3 = 0 AND b.vec_id % 3 <> 0)
-        SELECT qid, tid, round(s, 5) AS dense_score, row_number() OVER (PARTITION BY qid ORDER BY s DESC, tid) AS rank FROM s WHERE s > CAST(0.1 AS DOUBLE) QUALIFY row_number() OVER (PARTITION BY qid ORDER BY s DESC, tid) <= 20""",
+        SELECT qid, tid, s AS dense_score, row_number() OVER (PARTITION BY qid ORDER BY s DESC, tid) AS rank FROM s WHERE s > CAST(0.1 AS DOUBLE) QUALIFY row_number() OVER (PARTITION BY qid ORDER BY s DESC, tid) <= 20""",
     "hybrid_merge": """WITH n AS (SELECT l_orderkey AS qid, l_partkey AS tid, max(round(l_discount * 10, 6)) AS s FROM lineitem WHERE l_linenumber <= 3 GROUP BY ALL), d AS (SELECT l_orderkey AS qid, l_partkey AS tid, max(round(l_tax * 10, 6)) AS s FROM lineitem WHERE l_linenumber >= 3 GROUP BY ALL)
         SELECT qid, tid, greatest(n.s, d.s) AS score, CASE WHEN n.s IS NULL THEN 'dense' WHEN d.s > n.s THEN 'dense_higher' ELSE 'neural' END AS score_origin FROM n FULL JOIN d USING (qid, tid)""",
     "cardinality_by_country": _EVAL + """SELECT country, count(*) AS total_entities, count(*) FILTER (WHERE n_predicted = 0) AS singletons, round(avg(n_predicted), 6) AS avg_matches, max(n_predicted) AS max_matches,

@@ -463,7 +463,7 @@ def _dense(r: Records) -> DataFrame:
 @query
 def dense_topk(r: Records) -> DataFrame:
     """Cosine search of source 1's vectors among the others', within a label."""
-    return _dense(r).select("qid", "tid", F.round("dense_score", 5).alias("dense_score"), F.col("rank").cast("long").alias("rank"))
+    return _dense(r).select("qid", "tid", "dense_score", F.col("rank").cast("long").alias("rank"))
 
 
 @query

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from linkloom.functions import similarity as S
 from linkloom.functions import text as X
+from linkloom.session import Scratch
 
 NAME_WORDS = 6
 
@@ -31,7 +32,7 @@ class Records:
         """doc_id, src, entity_id, country, nt, name, address"""
         base = self.table("documents").select("doc_id", (F.col("doc_id") % 3 + 1).cast("int").alias("src"), F.coalesce("lang", F.lit("")).alias("country"), X.simple_normalize(F.col("text")).alias("nt"))
         w = X.words(F.col("nt"))
-        return base.select(
+        rows = base.select(
             "doc_id",
             "src",
             F.concat(F.lit("S"), F.col("src").cast("string"), F.lit("-"), F.col("doc_id").cast("string")).alias("entity_id"),
@@ -40,6 +41,8 @@ class Records:
             F.array_join(F.slice(w, 1, NAME_WORDS), " ").alias("name"),
             F.array_join(F.slice(w, NAME_WORDS + 1, F.greatest(F.size(w), F.lit(1))), " ").alias("address"),
         )
+        # normalised once, then read by each side of the joins with its own columns only
+        return Scratch(self.spark, "records").table("records", rows)
 
     @cached_property
     def references(self) -> DataFrame:
