@@ -25,7 +25,7 @@ from linkloom.llm.words import WordHashes, deal_rows, mix, runs, slices, windows
 from linkloom.session import Scratch, partitions_for
 
 _LAST = (1 << 63) - 1
-_FLUSH = 8 << 20
+_FLUSH = 6 << 20
 
 
 def super_kmers(hashes: np.ndarray, k: int, m: int) -> tuple[np.ndarray, np.ndarray]:
@@ -104,19 +104,19 @@ def _packets(k: int, m: int, buckets: int):
 def window_hashes(items: np.ndarray, k: int) -> np.ndarray:
     """A hash of the k items from each place on, by doubling; the last k - 1 places hold no whole window."""
     with np.errstate(over="ignore"):
-        have = {1: mix(items.astype(np.uint64) + np.uint64(0xA4093822299F31D0))}
-        width = 1
+        h, width = mix(items.astype(np.uint64) + np.uint64(0xA4093822299F31D0)), 1
+        kept, missing = {}, k - (1 << k.bit_length() - 1)
         while width * 2 <= k:
-            h = have[width]
-            have[width * 2] = mix(h[: len(h) - width] * np.uint64(0x9E3779B97F4A7C15) + h[width:])
+            if width & missing:  # the widths that k needs besides the largest
+                kept[width] = h
+            h = mix(h[: len(h) - width] * np.uint64(0x9E3779B97F4A7C15) + h[width:])
             width *= 2
-        out, done = have[width], width
-        for bit in sorted(have, reverse=True):
-            if bit < width and done + bit <= k:
-                n = len(items) - done - bit + 1
-                out = mix(out[:n] * np.uint64(0xD6E8FEB86659FD93) + have[bit][done : done + n])
-                done += bit
-        return out
+        done = width
+        for bit in sorted(kept, reverse=True):
+            part, n = kept.pop(bit), len(items) - done - bit + 1
+            h = mix(h[:n] * np.uint64(0xD6E8FEB86659FD93) + part[done : done + n])
+            done += bit
+        return h
 
 
 def later_windows(items: np.ndarray, at: np.ndarray, doc: np.ndarray, start: np.ndarray, k: int) -> np.ndarray:
@@ -237,8 +237,8 @@ def _keep(k: int, rest: list[str]):
                     continue
                 edge = np.zeros(len(words) + 1, np.int64)
                 a, n = np.frombuffer(starts, np.uint32).astype(np.int64), np.frombuffer(counts, np.uint32)
-                np.add.at(edge, a, 1)
-                np.add.at(edge, a + n + k - 1, -1)
+                np.add.at(edge, np.minimum(a, len(words)), 1)
+                np.add.at(edge, np.minimum(a + n + k - 1, len(words)), -1)
                 gone = np.cumsum(edge[:-1]) > 0
                 n_removed.append(int(gone.sum()))
                 texts.append(b" ".join(w for w, g in zip(words, gone.tolist(), strict=True) if not g).decode())
@@ -255,15 +255,16 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     space), ``n_words``, ``n_removed`` (long). Columns of ``docs`` with these names are replaced.
 
     A null, blank or short text (under k words) loses nothing; its ``kept`` is its words, ''
-    for none. A null id counts as the largest. Rows that share id and text start at the same
-    places, so neither is earlier; rows that share an id but not a text share their marks' id and
-    must not occur.
+    for none. A null id counts as larger than any other; among null ids a hash of the text decides. Rows that share id
+    and text start at the same places, so neither is earlier. Ids name one text: where two texts share one, words at
+    the places marked in either go from both.
     """
     if not 1 <= m <= k:
         raise ValueError("m must be from 1 to k")
     scratch = Scratch(docs.sparkSession, "substring-dedup")
-    parts = partitions_for(docs, 8 << 20)
-    whole = F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST))
+    parts = partitions_for(docs, 3 << 20)
+    nameless = F.lit(_LAST) - F.pmod(F.xxhash64(text_col), F.lit(1 << 40))
+    whole = F.coalesce(F.col(id_col).cast("long"), nameless)
     packets = docs.select(whole.alias("id"), F.col(text_col).alias("text")).mapInArrow(_packets(k, m, parts), _PACKETS_SQL)
     marks = packets.repartitionById(parts, "bucket").mapInArrow(_marks(k, parts), _MARKS_SQL)
     marks = scratch.table("marks", marks.repartitionById(parts, "owner").mapInArrow(_by_document, "id long, starts binary, counts binary"))
