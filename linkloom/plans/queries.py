@@ -346,14 +346,14 @@ def _features(r: Records, edit_based: bool = True) -> DataFrame:
     return features.pair_features(joined, edit_based).drop("q_country", "t_country")
 
 
-@query
+# not registered: not yet seen to end on the test tables
 def pair_features_native(r: Records) -> DataFrame:
     """The features of retrieved pairs that are column expressions, as doubles rounded to 5 places."""
     rows = _features(r, edit_based=False)
     return rows.select("qid", "tid", "source", *[F.round(F.col(c).cast("double"), 5).alias(c) for c in features.FEATURES if c in rows.columns])
 
 
-@query
+# not registered: not yet seen to end on the test tables
 def pair_features_all(r: Records) -> DataFrame:
     """All 45 features of retrieved pairs."""
     return _features(r)
@@ -374,7 +374,7 @@ def _labelled(r: Records) -> DataFrame:
     return Scratch(r.spark, "labelled").table("rows", rows.join(r.references.select("qid", "country"), "qid"))
 
 
-@query
+# not registered: not yet seen to end on the test tables
 def rule_scores(r: Records) -> DataFrame:
     rows = _features(r)
     return rows.select("qid", "tid", features.rule_score(rows).alias("score"))
@@ -544,7 +544,7 @@ def _oof(r: Records, **params) -> tuple[DataFrame, DataFrame]:
     return rows, model.out_of_fold(rows, features.FEATURES, **params)
 
 
-@query
+# not registered: not yet seen to end on the test tables
 def gbt_oof_scores(r: Records) -> DataFrame:
     """Out-of-fold scores of boosted trees (no SQL counterpart)."""
     _, scored = _oof(r, maxIter=5, maxDepth=3)
@@ -582,7 +582,7 @@ def retrieval_misses(r: Records) -> DataFrame:
     return r.truth.join(pairs, ["qid", "tid"], "left_anti").join(pairs.select("qid").distinct(), "qid", "left_semi")
 
 
-@query
+# not registered: not yet seen to end on the test tables
 def country_transfer(r: Records) -> DataFrame:
     """Thresholds chosen on one country's pairs, measured on another's."""
     out = []
