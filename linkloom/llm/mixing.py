@@ -208,7 +208,8 @@ def mix_sources(
     first = np.cumsum(counts, axis=0) - counts
     ranges = [(j, i, int(first[j, i]), int(counts[j, i])) for j in range(shards) for i in range(len(sources)) if counts[j, i]]
     ranges = spark.createDataFrame(ranges, "shard int, source_index int, first long, n long").repartition(min(len(ranges) or 1, 4 * spark.sparkContext.defaultParallelism))
-    drawn = ranges.mapInArrow(_slots(sources, block), _SLOTS)
+    # as many slots as the mix has: never to be broadcast, though the ranges they come from are few
+    drawn = ranges.mapInArrow(_slots(sources, block), _SLOTS).hint("merge")
 
     def div(x: Column) -> Column:
         return F.floor(x / F.lit(block)).cast("long")
