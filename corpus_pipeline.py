@@ -26,7 +26,7 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies the document with the smallest id stays. Rows without an id stay."""
-    joined = ngram_join(docs.where("doc_id IS NOT NULL"))
+    joined = ngram_join(docs.where("doc_id IS NOT NULL"), count_links=False)
     first = joined.where("doc_id = component_id").select("doc_id").distinct()
     kept = docs.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"])
     return kept.unionByName(docs.where("doc_id IS NULL")).select(docs.columns)

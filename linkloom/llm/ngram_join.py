@@ -19,9 +19,12 @@ node, named by a hash of the set, so groups of copies never meet in the join.
     costs about as many comparisons as it has members.
 4.  *Verification.* Each new pair meets once with both sets; a suffix filter
     bounds the overlap before the exact count.
-
-Which links are proven depends on step 3, their transitive closure does not:
-any pair left out lies within one component.
+5.  *Link counts.* Which links steps 3 and 4 prove depends on the order, their
+    transitive closure does not: any pair left out lies within one component. So
+    the nodes of each component are cut into blocks, each two blocks meet in a
+    cell, and a cell counts the overlaps of all its pairs: every link of two
+    different sets is counted once. A component of m nodes costs m * m / 2
+    overlaps, but no more rows than m times its blocks.
 """
 
 from __future__ import annotations
@@ -39,6 +42,7 @@ from linkloom.session import Scratch, partitions_for
 
 _LOW = np.uint64((1 << 48) - 1)
 _FLUSH = 400_000
+_BLOCK_NODES, _BLOCK_SHINGLES = 1000, 500_000
 
 
 def shingle_set(words: list[bytes], k: int, hashes: WordHashes) -> np.ndarray:
@@ -288,11 +292,80 @@ def _close(x: str, y: str, num: int, den: int) -> F.Column:
     return (F.least(nx, ny) * den >= F.greatest(nx, ny) * num) & (rest.cast("long") * (num + den) >= (nx.cast("long") + ny) * num)
 
 
-def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, similarity: tuple[int, int] = (3, 4), rounds: int = 2) -> DataFrame:
+def overlaps(x: list[np.ndarray], y: list[np.ndarray], width: int = 2048) -> np.ndarray:
+    """Shared elements of each set in x with each in y."""
+    owner_x, owner_y = (np.repeat(np.arange(len(z)), [len(s) for s in z]) for z in (x, y))
+    x, y = np.concatenate(x), np.concatenate(y)
+    both = np.intersect1d(x, y)
+    out = np.zeros((owner_x.max(initial=-1) + 1, owner_y.max(initial=-1) + 1), np.int64)
+    sides = []
+    for tokens, owner in ((x, owner_x), (y, owner_y)):
+        at = np.searchsorted(both, tokens)
+        at[at == len(both)] = 0
+        held = both[at] == tokens if len(both) else np.zeros(len(tokens), bool)
+        order = np.argsort(at[held], kind="stable")
+        sides.append((at[held][order], owner[held][order]))
+    for low in range(0, len(both), width):
+        grids = []
+        for (at, owner), rows in zip(sides, out.shape, strict=True):
+            a, b = np.searchsorted(at, (low, low + width))
+            grid = np.zeros((rows, min(width, len(both) - low)), np.float32)
+            grid[owner[a:b], at[a:b] - low] = 1
+            grids.append(grid)
+        out += (grids[0] @ grids[1].T).astype(np.int64)
+    return out
+
+
+def _count_links(num: int, den: int):
+    """Cells, row by row and sorted -> for each node the copies of the nodes it is linked with in this cell."""
+
+    def count(i: int, j: int, rows: list) -> pa.RecordBatch:
+        sides = [[r for r in rows if r[0] == own] for own in (i, j)]
+        names, sizes, copies = ([np.array([r[c] for r in side], np.int64) for side in sides] for c in (1, 2, 3))
+        if not len(names[0]) or not len(names[1]):
+            return pa.record_batch([pa.array([], pa.int64())] * 2, ["node", "linked"])
+        same = overlaps(*([np.frombuffer(r[4], np.uint64) for r in side] for side in sides))
+        linked = same * (num + den) >= num * (sizes[0][:, None] + sizes[1][None, :])
+        if i == j:
+            np.fill_diagonal(linked, False)
+            out = names[0], linked @ copies[0]
+        else:
+            out = np.concatenate(names), np.concatenate([linked @ copies[1], linked.T @ copies[0]])
+        return pa.record_batch([pa.array(c, pa.int64()) for c in out], ["node", "linked"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cell, rows = None, []
+        for batch in batches:
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if row[:3] != cell:
+                    if rows:
+                        yield count(*cell[1:], rows)
+                    cell, rows = row[:3], []
+                rows.append(row[3:])
+        if rows:
+            yield count(*cell[1:], rows)
+
+    return run
+
+
+def _link_counts(sets: DataFrame, labels: DataFrame, nodes: DataFrame, parts: int, num: int, den: int) -> DataFrame:
+    """-> node, linked: documents of other sets that the node's documents are linked with."""
+    light = labels.join(sets.select("node", "n"), "node").join(nodes.select("node", "copies"), "node")
+    blocks = F.ceil(F.greatest(F.count("*") / _BLOCK_NODES, F.sum("n") / _BLOCK_SHINGLES))
+    sized = light.groupBy("label").agg(F.count("*").alias("m"), blocks.cast("int").alias("blocks")).where("m > 1").select("label", "blocks")
+    dealt = light.join(sized, "label").withColumn("own", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    cells = dealt.join(sets.select("node", "shared"), "node").select("label", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "n", "copies", "shared")
+    cells = cells.repartition(parts, "label", "i", "j").sortWithinPartitions("label", "i", "j")
+    return cells.mapInArrow(_count_links(num, den), "node long, linked long").groupBy("node").agg(F.sum("linked").alias("linked"))
+
+
+def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, similarity: tuple[int, int] = (3, 4), rounds: int = 2, count_links: bool = True) -> DataFrame:
     """Link texts whose sets of word k-grams have a Jaccard similarity of at least ``similarity``.
 
     -> one row per input row: the id, ``n_shingles`` (set size, long), ``component_id``
-    (smallest id that links reach, its own included), ``set_id`` (equal for equal sets).
+    (smallest id that links reach, its own included), ``set_id`` (equal for equal sets),
+    ``n_links`` (other rows that the row is linked with, copies included).
 
     ASCII letters are lower-cased. A text of fewer than k words is one shingle of all of
     them; a null or blank text has none, links with nothing and is its own component.
@@ -301,6 +374,7 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Other columns of ``docs`` are not looked at.
 
     rounds: comparisons with a central node before all pairs across components.
+    count_links: without it there is no ``n_links``, and only as many links are proven as the components need.
     """
     spark, (num, den) = docs.sparkSession, similarity
     if not 0 < num <= den:
@@ -315,10 +389,10 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     sets = scratch.table("sets", shared.repartitionById(parts, "owners").mapInArrow(_sets(num, den), _SETS))
     del packets, shared
 
-    nodes = facts.where("n > 0").groupBy(F.col("one").alias("node"), "two", "n").agg(F.min("id").alias("label"))
-    nodes = scratch.table("nodes", nodes.groupBy("node").agg(F.min("label").alias("label")))
+    nodes = facts.where("n > 0").groupBy(F.col("one").alias("node"), "two", "n").agg(F.min("id").alias("label"), F.count("*").alias("copies"))
+    nodes = scratch.table("nodes", nodes.groupBy("node").agg(F.min("label").alias("label"), F.sum("copies").alias("copies")))
     # only nodes with a prefix left can have links; the others keep their label
-    labels = scratch.table("labels", nodes.join(sets.select("node"), "node"))
+    labels = scratch.table("labels", nodes.select("node", "label").join(sets.select("node"), "node"))
     first = labels
     posts = scratch.table("posts", sets.select("node", "n", "alone", F.posexplode("prefix").alias("pos", "token")).withColumn("pos", F.col("pos") + F.col("alone")))
     links = known = None
@@ -350,11 +424,14 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         links = proven if links is None else links.unionByName(proven)
         labels = scratch.table("labels", connected_components(first, links, scratch))
 
-    best = nodes.join(labels.toDF("node", "linked"), "node", "left").select("node", F.coalesce("linked", "label").alias("component"))
+    best = nodes.join(labels.toDF("node", "lowest"), "node", "left").select("node", "copies", F.coalesce("lowest", "label").alias("component"))
+    if count_links:
+        best = best.join(scratch.table("counts", _link_counts(sets, labels, nodes, parts, num, den)), "node", "left")
     out = facts.join(best, (F.col("one") == F.col("node")) & (F.col("n") > 0), "left")
     return out.select(
         F.col("id").alias(id_col),
         F.col("n").cast("long").alias("n_shingles"),
         F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("id")).alias("component_id"),
         F.when(F.col("n") > 0, F.col("one")).alias("set_id"),
+        *([F.when(F.col("n") > 0, F.col("copies") - 1 + F.coalesce("linked", F.lit(0))).otherwise(0).alias("n_links")] if count_links else []),
     )

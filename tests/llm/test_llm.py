@@ -84,6 +84,26 @@ def test_ngram_join_of_a_chain(spark):
     assert got == {i: c for i, (_, c) in brute_components(texts).items()} and len(set(got.values())) == 1
 
 
+def brute_links(texts, k=5):
+    sets = []
+    for t in texts:
+        w = (t or "").encode().lower().split()
+        sets.append({tuple(w[j : j + k]) for j in range(max(1, len(w) - k + 1))} if w else set())
+    return [sum(bool(x) and i != j and 4 * len(x & y) >= 3 * len(x | y) for j, y in enumerate(sets)) for i, x in enumerate(sets)]
+
+
+@pytest.mark.parametrize("block", [1000, 4])
+def test_ngram_join_counts_every_link(spark, monkeypatch, block):
+    """A group of near copies, some twice, that one centre would join: all of its links count."""
+    monkeypatch.setattr(ngram_join, "_BLOCK_NODES", block)
+    rng = random.Random(4)
+    base = [f"w{i}" for i in range(90)]
+    texts = [" ".join("x" + str(rng.randrange(50)) if rng.random() < 0.02 else w for w in base) for _ in range(30)]
+    texts += texts[:5] + corpus(3, 40)
+    got = {r.doc_id: r.n_links for r in ngram_join.ngram_join(table(spark, texts)).collect()}
+    assert got == dict(enumerate(brute_links(texts)))
+
+
 def test_ngram_join_edges(spark):
     empty = table(spark, ["x"]).limit(0)
     assert ngram_join.ngram_join(empty).count() == 0
