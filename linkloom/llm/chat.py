@@ -86,31 +86,26 @@ def locate(render: Render, before: list[Turn], role: str, start: int, whole: str
     return min(head, len(whole)), max(min(head, len(whole)), end)
 
 
-def format_turns(turns: Iterator[Turn], render: Render, memory: int = 32) -> Formatted:
-    """Render a conversation turn by turn. A prefix longer than 2 * memory turns is shortened to its last ``memory`` ones,
-    so the cost of a conversation grows with its turns: the template may look back so far, besides the very first output.
+def format_turns(turns: Iterator[Turn], render: Render) -> Formatted:
+    """Render a conversation turn by turn, every prefix in full, so that no change of the past goes unseen.
+    The template is free to look at all turns, so the cost of a conversation grows with the square of its turns.
     """
     out, context, last = Formatted(), [], render([])
     out.parts.append(last)
     out.length = len(last)
     for i, (role, text) in enumerate(turns):
-        if len(context) >= 2 * memory:
-            context = context[-memory:]
-            last = render(context)
         now = render([*context, (role, text)])
         same = common_prefix(last, now)
         if same < len(last):
             # the past was changed: what stands is replaced, and the turn's span is what is new
             out.rewrites.append(i)
-            if len(context) == i:
-                out.parts, out.length = [now[:same]], same
-            same = min(same, len(now))
+            out.parts, out.length = [now[:same]], same
         head, foot = locate(render, context, role, same, now)
-        at = out.length - same
-        out.spans.append((role, at + same, at + len(now), at + head, at + foot))
+        out.spans.append((role, same, len(now), head, foot))
         out.parts.append(now[same:])
-        out.length += len(now) - same
-        context, last = [*context, (role, text)], now
+        out.length = len(now)
+        context.append((role, text))
+        last = now
     return out
 
 

@@ -345,6 +345,19 @@ def test_templates_that_rewrite_history():
     assert not plain.rewrites and [plain.text[c:d] for _, _, _, c, d in plain.spans] == ["a", "b"]
 
 
+def test_templates_that_rewrite_history_after_many_turns():
+    turns = [("assistant" if i % 2 else "user", f"t{i} ") for i in range(150)]
+    counting = lambda turns: f"[{len(turns)}]" + "".join(t for _, t in turns)
+    f = chat.format_turns(iter(turns), counting)
+    assert f.text == counting(turns) and f.rewrites == list(range(150))
+    # from turn 100 on, the first turn is dropped from what was said
+    late = lambda turns: "".join(t for _, t in (turns if len(turns) < 100 else turns[1:]))
+    f = chat.format_turns(iter(turns), late)
+    assert f.text == late(turns) and f.rewrites == [99]
+    f = chat.format_turns(iter(turns), chat.chat_template)
+    assert f.text == chat.chat_template(turns) and not f.rewrites and [f.text[c:d] for _, _, _, c, d in f.spans] == [t for _, t in turns]
+
+
 def brute_topk(rows, k):
     good = [(i, np.floor(np.array(v, float) * 64).astype(int)) for i, v in rows if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)]
     out = []
