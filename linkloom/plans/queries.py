@@ -15,7 +15,10 @@ from linkloom.session import Scratch
 from linkloom.sources import tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+# the values that the SQL of these queries is written with; they drop words of more than 50 records and hits after the 20th
 SETTINGS = retrieval.Settings(k=20, posting_limit=50)
+# the production values: queries named _whole
+WHOLE = retrieval.Settings(k=100, posting_limit=2000)
 
 
 def query(function):
@@ -296,30 +299,61 @@ def rare_terms(r: Records) -> DataFrame:
     return retrieval.rare_terms(retrieval.query_terms(queries, chosen), stats).select("qid", "source", "country", "field", "term", "df", F.col("place").cast("long").alias("place"))
 
 
-@query
-def pass_hits(r: Records) -> DataFrame:
-    """Every pass's best documents, by its own BM25 rank."""
+def _pass_hits(r: Records, settings: retrieval.Settings) -> DataFrame:
     docs, stats, queries, scratch = _index(r)
     rare = retrieval.rare_terms(retrieval.query_terms(queries, retrieval.blocks(queries, docs)), stats)
-    passes = scratch.table("passes", retrieval._passes(rare, SETTINGS))
-    hits = retrieval.pass_hits(passes, docs, SETTINGS.k)
+    passes = scratch.table("passes", retrieval._passes(rare, settings))
+    hits = retrieval.pass_hits(passes, docs, settings.k)
     return hits.select("qid", "source", "pass_id", "rid", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
 @query
-def rrf_fusion(r: Records) -> DataFrame:
-    """All passes fused: the retrieval that later steps start from."""
-    found = retrieval.retrieve(r.as_queries(), r.as_documents(), SETTINGS)
+def pass_hits(r: Records) -> DataFrame:
+    """Every pass's best documents, by its own BM25 rank, at the SQL's limits."""
+    return _pass_hits(r, SETTINGS)
+
+
+@query
+def pass_hits_whole(r: Records) -> DataFrame:
+    """Every pass's best documents, by its own BM25 rank, at the production limits."""
+    return _pass_hits(r, WHOLE)
+
+
+def _rrf_fusion(r: Records, settings: retrieval.Settings) -> DataFrame:
+    found = retrieval.retrieve(r.as_queries(), r.as_documents(), settings)
     return found.select("qid", "source", "rid", F.round("retrieval_score", 6).alias("retrieval_score"), F.col("passes").cast("long").alias("passes"), F.col("rank").cast("long").alias("rank"))
 
 
 @query
-def retrieval_recall(r: Records) -> DataFrame:
-    found = retrieval.retrieve(r.as_queries(), r.as_documents(), SETTINGS)
+def rrf_fusion(r: Records) -> DataFrame:
+    """All passes fused, at the SQL's limits."""
+    return _rrf_fusion(r, SETTINGS)
+
+
+@query
+def rrf_fusion_whole(r: Records) -> DataFrame:
+    """All passes fused, at the production limits."""
+    return _rrf_fusion(r, WHOLE)
+
+
+def _retrieval_recall(r: Records, settings: retrieval.Settings) -> DataFrame:
+    found = retrieval.retrieve(r.as_queries(), r.as_documents(), settings)
     ranked = found.withColumn("tid", F.concat(F.lit("S"), F.col("source").cast("string"), F.lit("-"), F.col("rid").cast("string")))
     return evaluate.recall_at(r.truth, ranked).select(F.col("k").cast("long").alias("k"), "true_pairs", "recovered", F.round("recall", 6).alias("recall"))
 
 
+@query
+def retrieval_recall(r: Records) -> DataFrame:
+    """Recall at 20, 50 and 100 of passes cut at the SQL's limits."""
+    return _retrieval_recall(r, SETTINGS)
+
+
+@query
+def retrieval_recall_whole(r: Records) -> DataFrame:
+    """Recall at 20, 50 and 100 of passes cut at the production limits."""
+    return _retrieval_recall(r, WHOLE)
+
+
 @query
 def alias_tokens(r: Records) -> DataFrame:
     """Words without accents linked to accented ones at the same place in names that share their first word."""
@@ -333,8 +367,8 @@ def alias_tokens(r: Records) -> DataFrame:
 # -- features ----------------------------------------------------------------
 
 
-def _pairs(r: Records) -> DataFrame:
-    found = retrieval.retrieve(r.as_queries(), r.as_documents(), SETTINGS)
+def _pairs(r: Records, settings: retrieval.Settings = SETTINGS) -> DataFrame:
+    found = retrieval.retrieve(r.as_queries(), r.as_documents(), settings)
     pairs = found.withColumn("tid", F.concat(F.lit("S"), F.col("source").cast("string"), F.lit("-"), F.col("rid").cast("string"))).drop("rid")
     return Scratch(r.spark, "pairs").table("pairs", pairs)
 
@@ -359,11 +393,21 @@ def pair_features_all(r: Records) -> DataFrame:
     return _features(r)
 
 
+def _name_jaro_winkler(r: Records, settings: retrieval.Settings) -> DataFrame:
+    met = _pairs(r, settings).select("qid", "tid").join(r.references.select("qid", F.col("name").alias("q_name")), "qid").join(r.targets.select("tid", F.col("name").alias("t_name")), "tid")
+    return met.select("qid", "tid", F.round(S.jaro_winkler_bytes("q_name", "t_name"), 6).alias("similarity"))
+
+
 @query
 def name_jaro_winkler(r: Records) -> DataFrame:
-    """Jaro-Winkler similarity, by bytes, of the names of retrieved pairs."""
-    met = _pairs(r).select("qid", "tid").join(r.references.select("qid", F.col("name").alias("q_name")), "qid").join(r.targets.select("tid", F.col("name").alias("t_name")), "tid")
-    return met.select("qid", "tid", F.round(S.jaro_winkler_bytes("q_name", "t_name"), 6).alias("similarity"))
+    """Jaro-Winkler similarity, by bytes, of the names of pairs retrieved at the SQL's limits."""
+    return _name_jaro_winkler(r, SETTINGS)
+
+
+@query
+def name_jaro_winkler_whole(r: Records) -> DataFrame:
+    """Jaro-Winkler similarity, by bytes, of the names of pairs retrieved at the production limits."""
+    return _name_jaro_winkler(r, WHOLE)
 
 
 def _labelled(r: Records) -> DataFrame:
