@@ -472,7 +472,8 @@ def training_pairs(r: Records) -> DataFrame:
 
 @query
 def structural_negatives(r: Records) -> DataFrame:
-    """Wrong pairs with names far apart at near addresses, among pairs whose addresses begin alike (names are compared in place of whole addresses)."""
+    """Wrong pairs with names far apart at near addresses, among pairs whose addresses begin alike (names are compared in place of whole addresses, first
+    words in place of names, as in the SQL; ``structural_negatives_whole`` compares the records' own fields)."""
     second = F.split_part("name", F.lit(" "), F.lit(2))
     q = r.references.where("name <> ''").select("qid", "country", second.alias("w"), F.col("name").alias("q_address"), F.split_part("name", F.lit(" "), F.lit(1)).alias("q_name"), F.col("nt").alias("q_nt"))
     t = r.targets.where("name <> ''").select("tid", "country", second.alias("w"), F.col("name").alias("t_address"), F.split_part("name", F.lit(" "), F.lit(1)).alias("t_name"), F.col("nt").alias("t_nt"))
@@ -480,6 +481,18 @@ def structural_negatives(r: Records) -> DataFrame:
     return splits.structural_negatives(met, S.jaro_winkler_bytes, 0.6, 0.6).select("qid", "tid")
 
 
+@query
+def structural_negatives_whole(r: Records) -> DataFrame:
+    """Wrong pairs with names far apart at near addresses, among retrieved pairs: the records' names and whole addresses, at 0.80 and 0.60."""
+    q = r.references.select("qid", F.col("name").alias("q_name"), F.col("address").alias("q_address"), F.col("nt").alias("q_nt"))
+    t = r.targets.select("tid", F.col("name").alias("t_name"), F.col("address").alias("t_address"), F.col("nt").alias("t_nt"))
+    label = ((F.col("q_nt") == F.col("t_nt")) & (F.col("q_nt") != "")).cast("int")
+    met = _pairs(r, WHOLE).select("qid", "tid").join(q, "qid").join(t, "tid").withColumn("label", label).drop("q_nt", "t_nt")
+    # names first: comparing whole addresses costs by far the most
+    apart = Scratch(r.spark, "structural").table("apart", met.where("label = 0").where(S.jaro_winkler_bytes("q_name", "t_name") < 0.60))
+    return splits.structural_negatives(apart, S.jaro_winkler_bytes).select("qid", "tid")
+
+
 @query
 def sample_then_filter(r: Records) -> DataFrame:
     """A random sample that is filtered afterwards (random: no SQL counterpart)."""
