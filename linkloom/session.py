@@ -8,13 +8,16 @@ our own is used only where that setting is absent (tests, one machine).
 from __future__ import annotations
 
 import atexit
+import contextlib
 import math
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _own_dirs: dict[str, str] = {}
+_scopes: list[list[Scratch]] = []
 
 
 def local_session(cpus: int = 8, memory: str = "8g", name: str = "linkloom") -> SparkSession:
@@ -39,6 +42,8 @@ def shared_dir(spark: SparkSession) -> str:
         return named
     app = spark.sparkContext.applicationId
     if app not in _own_dirs:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("on a cluster, spark.checkpoint.dir must name a folder that the driver and all executors share")
         folder = tempfile.TemporaryDirectory(prefix="linkloom-")
         atexit.register(folder.cleanup)
         _own_dirs[app] = f"file://{folder.name}"
@@ -52,6 +57,19 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+@contextlib.contextmanager
+def temporary():
+    """Drop at the end all scratch tables made inside: for steps whose results are written, or collected, before it."""
+    made: list[Scratch] = []
+    _scopes.append(made)
+    try:
+        yield
+    finally:
+        _scopes.pop()
+        for scratch in made:
+            scratch.close()
+
+
 class Scratch:
     """Parquet tables in the shared folder, dropped together by ``close``.
 
@@ -63,6 +81,8 @@ class Scratch:
         self.spark = spark
         self.root = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
         atexit.register(self.close)
+        for scope in _scopes:
+            scope.append(self)
 
     def table(self, name: str, df: DataFrame) -> DataFrame:
         path = f"{self.root}/{name}-{uuid.uuid4().hex[:8]}"
@@ -83,13 +103,11 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def input_bytes(df: DataFrame) -> int:
-    """The optimiser's size estimate, from file sizes for tables on disk."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+def column_bytes(df: DataFrame, column: str) -> int:
+    """Bytes of a text or binary column, counted: an optimiser's estimate says little of a frame that is more than a table."""
+    return df.agg(F.coalesce(F.sum(F.octet_length(column)), F.lit(0))).first()[0]
 
 
-def partitions_for(df: DataFrame, bytes_each: int) -> int:
-    """Partitions that keep each near ``bytes_each`` of input, at least the session's number."""
-    size = input_bytes(df)
-    wanted = math.ceil(size / bytes_each) if size < 1 << 60 else 0
-    return max(shuffle_partitions(df.sparkSession), wanted, 1)
+def partitions_for(df: DataFrame, column: str, bytes_each: int) -> int:
+    """Partitions that keep each near ``bytes_each`` of a column, at least the session's number."""
+    return max(shuffle_partitions(df.sparkSession), math.ceil(column_bytes(df, column) / bytes_each), 1)
