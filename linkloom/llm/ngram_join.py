@@ -4,9 +4,9 @@ Rare-first prefix filtering with length, positional and suffix filters; a pair i
 verified once. Texts become sets of 64-bit shingle hashes; equal sets become one
 node, named by a hash of the set, so groups of copies never meet in the join.
 
-1.  *Counts.* Each task deals its shingles to buckets by the top hash bits, in
-    packed arrays with one node name per run, not one row per shingle. A bucket
-    counts, for each shingle, the different sets that hold it.
+1.  *Counts.* Each task reads its texts once and deals their shingles to buckets by the
+    top hash bits, in packed arrays with one node name per run, not one row per shingle.
+    A bucket counts, for each shingle, the different sets that hold it.
 2.  *Prefixes.* Shingles that two sets share go back to their nodes. All others
     come first in the global order (frequency, shingle) and can never match, so a
     set whose prefix holds only those drops out here. With text that is mostly
@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from linkloom.llm.words import WordHashes, mix, slices, windows
+from linkloom.llm.words import WordHashes, deal_rows, mix, runs, slices, tidied, windows
 from linkloom.operators.graph import connected_components
 from linkloom.session import Scratch, partitions_for
 
@@ -49,12 +49,14 @@ def shingle_set(words: list[bytes], k: int, hashes: WordHashes) -> np.ndarray:
     return np.unique(windows(hashes.of(words), k))
 
 
-def set_names(shingles: np.ndarray) -> tuple[int, int]:
-    """Two independent signed 64-bit names of a set, whatever its order."""
+def set_name(shingles: np.ndarray) -> int:
+    """A signed 64-bit name of a set, whatever its order; 0 for the empty one."""
+    if not len(shingles):
+        return 0
     with np.errstate(over="ignore"):
         one = mix(shingles + np.uint64(0x243F6A8885A308D3)).sum(dtype=np.uint64)
         two = mix(shingles ^ np.uint64(0x13198A2E03707344)).sum(dtype=np.uint64) ^ np.uint64(len(shingles))
-        return tuple(int(x) for x in mix(np.array([one, two], np.uint64)).view(np.int64))
+        return int(mix(np.array([one], np.uint64) ^ mix(np.array([two], np.uint64))).view(np.int64)[0])
 
 
 def _pack48(x: np.ndarray) -> bytes:
@@ -67,95 +69,100 @@ def _unpack48(data: bytes) -> np.ndarray:
     return out.view("<u8").ravel()
 
 
-def _runs(keys: np.ndarray) -> np.ndarray:
-    """Starts of runs of equal keys, and the end."""
-    if not len(keys):
-        return np.zeros(1, np.int64)
-    return np.r_[0, np.flatnonzero(keys[1:] != keys[:-1]) + 1, len(keys)]
+_PACKETS = "bucket int, nodes binary, sizes binary, counts binary, tokens binary, facts binary"
+_PACKET_KINDS = {"bucket": pa.int32()} | dict.fromkeys(("nodes", "sizes", "counts", "tokens", "facts"), pa.binary())
+# what is known of a row: its number within a flush is its place in the flush's ids
+_FACT = np.dtype([("id", "<i8"), ("known", "<i8"), ("hash", "<i8"), ("n", "<i8"), ("name", "<i8")])
 
 
-_FACTS = "id long, n int, one long, two long"
-
-
-def _facts(k: int):
-    """(id, text) -> one row per document: set size and two names of the set."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
-        for batch in slices(batches, "text"):
-            n, one, two = [], [], []
-            for text in batch.column("text").to_pylist():
-                s = shingle_set((text or "").encode().lower().split(), k, hashes)
-                a, b = set_names(s) if len(s) else (0, 0)
-                n.append(len(s)), one.append(a), two.append(b)
-            yield pa.record_batch([batch.column("id"), pa.array(n, pa.int32()), pa.array(one, pa.int64()), pa.array(two, pa.int64())], ["id", "n", "one", "two"])
-
-    return run
-
-
-_PACKETS = "bucket int, nodes binary, sizes binary, counts binary, tokens binary"
+def bucket_of(tokens: np.ndarray, buckets: int) -> np.ndarray:
+    """Bucket of each shingle by its top 32 bits: rising with the shingle, and as many in use as there are."""
+    return ((tokens >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int32)
 
 
 def _packets(k: int, buckets: int):
-    """(text) -> shingles dealt to buckets. Copies within a flush are sent once."""
+    """(id, hash, text) -> shingles dealt to buckets, and a record of facts for each row. Copies within a flush are sent once.
+
+    Up to 65,536 buckets a bucket tells at least a shingle's top bits, and 48 bits of it travel; beyond that all 64 do.
+    """
+    packed = _pack48 if buckets <= 1 << 16 else lambda x: x.astype("<u8").tobytes()
 
-    def deal(nodes: list, sets: list) -> pa.RecordBatch:
+    def deal(nodes: list, sets: list) -> list[tuple]:
         tokens = np.concatenate(sets)
         owner = np.repeat(np.arange(len(sets), dtype=np.int32), [len(s) for s in sets])
-        bucket = ((tokens >> np.uint64(48)) * np.uint64(buckets) >> np.uint64(16)).astype(np.uint16 if buckets < 65536 else np.uint32)
+        bucket = bucket_of(tokens, buckets)
         order = np.argsort(bucket, kind="stable")
         tokens, owner, bucket = tokens[order], owner[order], bucket[order]
         names, sizes = np.array(nodes, np.int64), np.array([len(s) for s in sets], np.uint32)
-        cut, rows = _runs(bucket), []
+        cut, rows = runs(bucket), []
         for a, b in zip(cut[:-1], cut[1:], strict=True):
-            r = _runs(owner[a:b])
+            r = runs(owner[a:b])
             own = owner[a:b][r[:-1]]
-            rows.append((int(bucket[a]), names[own].tobytes(), sizes[own].tobytes(), np.diff(r).astype(np.uint32).tobytes(), _pack48(tokens[a:b])))
-        kinds = (pa.int32(), *[pa.binary()] * 4)
-        return pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], ["bucket", "nodes", "sizes", "counts", "tokens"])
+            rows.append((int(bucket[a]), names[own].tobytes(), sizes[own].tobytes(), np.diff(r).astype(np.uint32).tobytes(), packed(tokens[a:b]), None))
+        return rows
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, nodes, sets, held, seen = WordHashes(), [], [], 0, set()
+        hashes, nodes, sets, held, seen, facts = WordHashes(), [], [], 0, set(), []
+
+        def flush():
+            # facts go along with the packets, to a bucket chosen by the first of them
+            rows = deal(nodes, sets) if nodes else []
+            known = np.array(facts, _FACT)
+            to = int(mix(known["hash"][:1].astype(np.uint64))[0] % np.uint64(buckets)) if len(known) else 0
+            return deal_rows([*rows, *([(to, None, None, None, None, known.tobytes())] if facts else [])], _PACKET_KINDS)
+
         for batch in slices(batches, "text"):
-            for text in batch.column("text").to_pylist():
+            for key, h, text in zip(*(batch.column(c).to_pylist() for c in ("id", "hash", "text")), strict=True):
                 s = shingle_set((text or "").encode().lower().split(), k, hashes)
-                if not len(s) or (name := set_names(s)[0]) in seen:
-                    continue
-                seen.add(name), nodes.append(name), sets.append(s)
-                held += len(s)
-                if held >= _FLUSH:
-                    yield deal(nodes, sets)
-                    nodes, sets, held = [], [], 0
+                name = set_name(s)
+                facts.append((key or 0, key is not None, h, len(s), name))
+                if len(s) and name not in seen:
+                    seen.add(name), nodes.append(name), sets.append(s)
+                    held += len(s)
+                if held >= _FLUSH or len(facts) >= _FLUSH // 8:
+                    yield flush()
+                    nodes, sets, held, facts = [], [], 0, []
                     if len(seen) > 1_000_000:
                         seen.clear()
-        if nodes:
-            yield deal(nodes, sets)
+        if facts:
+            yield flush()
 
     return run
 
 
-def _bucket_arrays(batches: Iterator[pa.RecordBatch]) -> dict[int, list]:
-    out: dict[int, list] = {}
+def _unpacked_facts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for row in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
-            out.setdefault(row[0], []).append(row[1:])
-    return out
+        for data in batch.column(0).to_pylist():
+            known = np.frombuffer(data, _FACT)
+            key = pa.array(known["id"], mask=known["known"] == 0)
+            yield pa.record_batch([key, *(pa.array(np.ascontiguousarray(known[c])) for c in ("hash", "n", "name"))], ["id", "hash", "n", "name"])
 
 
-_SHARED = "owners int, nodes binary, sizes binary, counts binary, tokens binary, dfs binary"
+_SHARED = "owners int, nodes binary, sizes binary, counts binary, tokens binary, dfs binary, facts binary"
+_SHARED_KINDS = {"owners": pa.int32()} | dict.fromkeys(("nodes", "sizes", "counts", "tokens", "dfs", "facts"), pa.binary())
 
 
-def _shared(owners: int):
-    """A bucket's packets -> the shingles in two sets or more, with their counts, dealt to their nodes' partitions."""
+def _shared(owners: int, buckets: int):
+    """A bucket's packets -> the shingles in two sets or more, with their counts, dealt to their nodes' partitions; facts go through."""
+    unpacked = _unpack48 if buckets <= 1 << 16 else lambda data: np.frombuffer(data, np.uint64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = _bucket_arrays(batches)
+        held: dict[int, list] = {}
+        for batch in batches:
+            facts = []
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if row[5] is not None:
+                    facts.append((-1, None, None, None, None, None, row[5]))
+                else:
+                    held.setdefault(row[0], []).append(row[1:5])
+            if facts:
+                yield deal_rows(facts, _SHARED_KINDS)
         for bucket in list(held):
             packets = held.pop(bucket)
             node = np.concatenate([np.frombuffer(p[0], np.int64) for p in packets])
             size = np.concatenate([np.frombuffer(p[1], np.uint32) for p in packets])
             count = np.concatenate([np.frombuffer(p[2], np.uint32) for p in packets])
-            token = np.concatenate([_unpack48(p[3]) for p in packets])
+            token = np.concatenate([unpacked(p[3]) for p in packets])
             del packets
             run_of = np.repeat(np.arange(len(node), dtype=np.int32), count)
             order = np.argsort(token)
@@ -172,7 +179,7 @@ def _shared(owners: int):
             first = np.ones(len(token), bool)
             first[1:] = (token[1:] != token[:-1]) | (node[run_of[1:]] != node[run_of[:-1]])
             token, run_of = token[first], run_of[first]
-            cut = _runs(token)
+            cut = runs(token)
             df = np.repeat(np.diff(cut), np.diff(cut))
             token, run_of, df = token[df > 1], run_of[df > 1], df[df > 1].astype(np.uint32)
             if not len(token):
@@ -181,14 +188,13 @@ def _shared(owners: int):
             owner = (mix(who.view(np.uint64)) % np.uint64(owners)).astype(np.int32)
             order = np.lexsort((who, owner))
             owner, who, df = owner[order], who[order], df[order]
-            token = token[order] | np.uint64(bucket & 0xFFFF) << np.uint64(48)
-            size, cut, rows = size[run_of[order]], _runs(owner), []
+            token = token[order] if buckets > 1 << 16 else token[order] | np.uint64(bucket) << np.uint64(48)
+            size, cut, rows = size[run_of[order]], runs(owner), []
             for a, b in zip(cut[:-1], cut[1:], strict=True):
-                r = _runs(who[a:b])
+                r = runs(who[a:b])
                 at = a + r[:-1]
-                rows.append((int(owner[a]), who[at].tobytes(), size[at].tobytes(), np.diff(r).astype(np.uint32).tobytes(), token[a:b].tobytes(), df[a:b].tobytes()))
-            kinds = (pa.int32(), *[pa.binary()] * 5)
-            yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], ["owners", "nodes", "sizes", "counts", "tokens", "dfs"])
+                rows.append((int(owner[a]), who[at].tobytes(), size[at].tobytes(), np.diff(r).astype(np.uint32).tobytes(), token[a:b].tobytes(), df[a:b].tobytes(), None))
+            yield deal_rows(rows, _SHARED_KINDS)
 
     return run
 
@@ -216,12 +222,12 @@ def _sets(num: int, den: int):
         shared = np.bincount(slot, count).astype(np.int64)
         n = size[at].astype(np.int64)
         keep = shared * den >= n * num
-        runs = keep[slot]
-        chosen = np.repeat(runs, count)
-        slot, token, df = np.repeat(slot[runs], count[runs]), token[chosen], df[chosen]
+        kept = keep[slot]
+        chosen = np.repeat(kept, count)
+        slot, token, df = np.repeat(slot[kept], count[kept]), token[chosen], df[chosen]
         order = np.lexsort((token, df, slot))
         slot, token = slot[order], token[order]
-        cut, out = _runs(slot), []
+        cut, out = runs(slot), []
         for a, b in zip(cut[:-1], cut[1:], strict=True):
             s = slot[a]
             alone = n[s] - (b - a)
@@ -357,21 +363,22 @@ def _link_counts(sets: DataFrame, labels: DataFrame, nodes: DataFrame, parts: in
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     cells = dealt.join(sets.select("node", "shared"), "node").select("label", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "n", "copies", "shared")
     cells = cells.repartition(parts, "label", "i", "j").sortWithinPartitions("label", "i", "j")
-    return cells.mapInArrow(_count_links(num, den), "node long, linked long").groupBy("node").agg(F.sum("linked").alias("linked"))
+    return cells.mapInArrow(tidied(_count_links(num, den)), "node long, linked long").groupBy("node").agg(F.sum("linked").alias("linked"))
 
 
 def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, similarity: tuple[int, int] = (3, 4), rounds: int = 2, count_links: bool = True) -> DataFrame:
     """Link texts whose sets of word k-grams have a Jaccard similarity of at least ``similarity``.
 
-    -> one row per input row: the id, ``n_shingles`` (set size, long), ``component_id``
-    (smallest id that links reach, its own included), ``set_id`` (equal for equal sets),
-    ``n_links`` (other rows that the row is linked with, copies included).
+    -> one row per input row: the id, ``n_shingles`` (set size, long), ``component_id`` (smallest id that links
+    reach, its own included), ``n_links`` (other rows that the row is linked with, copies included), ``set_id`` (equal for
+    equal sets), ``group`` (equal within a component, not null where there are shingles), ``text_hash`` (xxhash64).
 
-    ASCII letters are lower-cased. A text of fewer than k words is one shingle of all of
-    them; a null or blank text has none, links with nothing and is its own component.
-    Rows that share an id are compared as rows, each by its own text. A null id is
-    ignored by the minimum; a component of null ids only has a null component_id.
-    Other columns of ``docs`` are not looked at.
+    ASCII letters are lower-cased. A text of fewer than k words is one shingle of all of them; a null or blank text has
+    none, links with nothing and is its own component. A very long text is one set like any other. Rows that repeat, or share an
+    id, are compared as rows, each by its own text. A null id is ignored by the minimum, and its row links like
+    any other; a component of null ids only has a null component_id. Other columns of ``docs`` are not looked at. An empty table
+    has no rows. Sets are told apart by a 64-bit name: among n different sets about n * n / 2 ** 65 pairs would
+    be taken for equal, less than one up to some 10 ** 9 sets.
 
     rounds: comparisons with a central node before all pairs across components.
     count_links: without it there is no ``n_links``, and only as many links are proven as the components need.
@@ -380,19 +387,20 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     if not 0 < num <= den:
         raise ValueError("similarity must be over 0 and at most 1")
     scratch = Scratch(spark, "ngram-join")
-    parts = partitions_for(docs, 10 << 20)
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-
-    facts = scratch.table("facts", texts.mapInArrow(_facts(k), _FACTS))
-    packets = texts.select("text").mapInArrow(_packets(k, parts), _PACKETS)
-    shared = packets.repartitionById(parts, "bucket").mapInArrow(_shared(parts), _SHARED)
-    sets = scratch.table("sets", shared.repartitionById(parts, "owners").mapInArrow(_sets(num, den), _SETS))
+    parts = partitions_for(docs, text_col, 10 << 20)
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("hash"), F.col(text_col).alias("text"))
+
+    # texts are read once: facts of rows travel with the packets
+    packets = texts.mapInArrow(tidied(_packets(k, parts)), _PACKETS)
+    shared = scratch.table("shared", packets.repartitionById(parts, "bucket").mapInArrow(tidied(_shared(parts, parts)), _SHARED))
+    facts = scratch.table("facts", shared.where("owners < 0").select("facts").mapInArrow(_unpacked_facts, "id long, hash long, n long, name long"))
+    shared = shared.where("owners >= 0").drop("facts")
+    sets = scratch.table("sets", shared.repartitionById(parts, "owners").mapInArrow(tidied(_sets(num, den)), _SETS))
     del packets, shared
 
-    nodes = facts.where("n > 0").groupBy(F.col("one").alias("node"), "two", "n").agg(F.min("id").alias("label"), F.count("*").alias("copies"))
-    nodes = scratch.table("nodes", nodes.groupBy("node").agg(F.min("label").alias("label"), F.sum("copies").alias("copies")))
-    # only nodes with a prefix left can have links; the others keep their label
-    labels = scratch.table("labels", nodes.select("node", "label").join(sets.select("node"), "node"))
+    nodes = scratch.table("nodes", facts.where("n > 0").groupBy(F.col("name").alias("node")).agg(F.min("id").alias("lowest"), F.count("*").alias("copies")))
+    # only nodes with a prefix left can have links; a component's label is its smallest node, which is never null
+    labels = scratch.table("labels", sets.select("node", F.col("node").alias("label")))
     first = labels
     posts = scratch.table("posts", sets.select("node", "n", "alone", F.posexplode("prefix").alias("pos", "token")).withColumn("pos", F.col("pos") + F.col("alone")))
     links = known = None
@@ -424,14 +432,19 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         links = proven if links is None else links.unionByName(proven)
         labels = scratch.table("labels", connected_components(first, links, scratch))
 
-    best = nodes.join(labels.toDF("node", "lowest"), "node", "left").select("node", "copies", F.coalesce("lowest", "label").alias("component"))
+    members = labels.join(nodes, "node")
+    lowest = members.groupBy("label").agg(F.min("lowest").alias("component"))
+    best = nodes.join(labels, "node", "left").join(lowest, "label", "left").select("node", "copies", F.when(F.col("label").isNull(), F.col("lowest")).otherwise(F.col("component")).alias("component"), F.coalesce("label", "node").alias("group"))
     if count_links:
         best = best.join(scratch.table("counts", _link_counts(sets, labels, nodes, parts, num, den)), "node", "left")
-    out = facts.join(best, (F.col("one") == F.col("node")) & (F.col("n") > 0), "left")
+    out = facts.join(best, (F.col("name") == F.col("node")) & (F.col("n") > 0), "left")
+    some = F.col("n") > 0
     return out.select(
         F.col("id").alias(id_col),
-        F.col("n").cast("long").alias("n_shingles"),
-        F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("id")).alias("component_id"),
-        F.when(F.col("n") > 0, F.col("one")).alias("set_id"),
-        *([F.when(F.col("n") > 0, F.col("copies") - 1 + F.coalesce("linked", F.lit(0))).otherwise(0).alias("n_links")] if count_links else []),
+        F.col("n").alias("n_shingles"),
+        F.when(some, F.col("component")).otherwise(F.col("id")).alias("component_id"),
+        *([F.when(some, F.col("copies") - 1 + F.coalesce("linked", F.lit(0))).otherwise(0).alias("n_links")] if count_links else []),
+        F.when(some, F.col("name")).alias("set_id"),
+        F.when(some, F.col("group")).alias("group"),
+        F.col("hash").alias("text_hash"),
     )

@@ -31,11 +31,7 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
 
 
 def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_join(_table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
-
-
-def op1_ngram_jaccard_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Beside the component the number of documents that each one is linked with."""
+    """Beside the contract's columns the number of documents that each one is linked with."""
     return ngram_join(_table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "n_links")
 
 
@@ -91,5 +87,5 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    ops = [op1_ngram_jaccard_join, op1_ngram_jaccard_links, op2_token_counts, op3_substring_dedup, op4_histogram_sort_sharding, op5_chat_formatting, op6_exact_topk_search, op7_toxicity, op8_quality_rules, op9_best_fit_packing, op10_source_mixing]
+    ops = [op1_ngram_jaccard_join, op2_token_counts, op3_substring_dedup, op4_histogram_sort_sharding, op5_chat_formatting, op6_exact_topk_search, op7_toxicity, op8_quality_rules, op9_best_fit_packing, op10_source_mixing]
     return {f.__name__: f for f in ops}

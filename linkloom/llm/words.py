@@ -6,6 +6,7 @@ is what ``bytes.split()`` gives on UTF-8.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -74,6 +75,20 @@ def runs(keys: np.ndarray) -> np.ndarray:
     return np.r_[0, np.flatnonzero(keys[1:] != keys[:-1]) + 1, len(keys)]
 
 
+def tidied(run):
+    """A batch function that gives memory back when it is done: Python workers live on between tasks, and would hold it."""
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+                trim(0)
+
+    return whole
+
+
 def deal_rows(rows: list[tuple], kinds: dict[str, pa.DataType]) -> pa.RecordBatch:
     columns = zip(*rows, strict=True) if rows else ([] for _ in kinds)
     return pa.record_batch([pa.array(c, t) for c, t in zip(columns, kinds.values(), strict=True)], list(kinds))
