@@ -3,7 +3,8 @@
 For a tokenizer that drops white space before anything else looks at the text (a normaliser and a
 pre-tokenizer that work inside words), the ids of a text are those of its words in turn. Words come back
 all the time, so most are looked up and only new ones are encoded, many at once. The tokenizer itself says
-whether it is of that kind (``by_words``); others encode each text as a whole.
+whether it is of that kind (``by_words``); others encode each text as a whole. A word's letters and the
+punctuation after them are remembered apart only where the tokenizer's own rules part that very word there.
 """
 
 from __future__ import annotations
@@ -23,15 +24,23 @@ _SPACE = np.zeros(128, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 
 
+def _keeps_to_words(normalizer: dict) -> bool:
+    """Whether a normaliser's rule does the same to a text as to its words one by one."""
+    if normalizer["type"] != "Replace":
+        return normalizer["type"] in ("NFC", "Lowercase")
+    # of replacements, only that of white space by white space is known to stay between words
+    return normalizer["pattern"] in ({"Regex": r"\s+"}, {"Regex": r"\s"}) and normalizer["content"] == " "
+
+
 def drops_space(spec: dict) -> bool:
-    """Whether no token and no rule of this tokenizer looks across ASCII white space."""
+    """Whether no token and no rule of this tokenizer looks across ASCII white space. In doubt: no."""
     pre = spec.get("pre_tokenizer") or {}
     first = (pre.get("pretokenizers") or [pre])[0]
     removes = first.get("type") in ("Whitespace", "WhitespaceSplit") or (first.get("type") == "Split" and first.get("behavior") == "Removed" and first.get("invert") and r"\s" not in first["pattern"].get("Regex", r"\s").replace(r"^\s", ""))
     norm = spec.get("normalizer") or {}
-    norms = {n["type"] for n in norm.get("normalizers", [norm])} if norm else set()
+    norms = norm.get("normalizers", [norm]) if norm else []
     prefix = any(p.get("add_prefix_space") for p in pre.get("pretokenizers", [pre]))
-    return bool(removes) and norms <= {"NFC", "Lowercase", "Replace"} and not prefix and not spec.get("post_processor")
+    return bool(removes) and all(map(_keeps_to_words, norms)) and not prefix and not spec.get("post_processor")
 
 
 class Encoder:
@@ -50,6 +59,7 @@ class Encoder:
         if self.by_words:
             self.between, self.between_id = added[0]["content"], added[0]["id"]
         self.limit = limit
+        self.marks: dict[str, list[str]] = {}
         self.ids: dict[bytes, bytes] = {}
         self.places: dict[bytes, bytes] = {}
 
@@ -80,11 +90,10 @@ class Encoder:
         return out
 
     def _learn(self, memory: dict[bytes, bytes], new: set[bytes]) -> None:
-        # a word's letters and the punctuation after them are encoded apart, by the tokenizer's own rule
         plain, parted = [], []
         for w in new:
             core = w.rstrip(_MARKS)
-            if core and len(core) < len(w) and (core[-1:].isalpha() or core[-8:].decode(errors="ignore")[-1:].isalpha()):
+            if core and len(core) < len(w) and self._parts(w.decode(), core.decode()):
                 parted.append((w, core, w[len(core) :]))
             else:
                 plain.append(w)
@@ -99,6 +108,22 @@ class Encoder:
                 tail = (np.frombuffer(tail, "<u4").reshape(-1, 3) + np.array([0, n := len(core.decode()), n], "<u4")).tobytes()
             memory[w] = memory[core] + tail
 
+    def _pieces(self, word: str) -> list[tuple[str, tuple[int, int]]]:
+        """What the model sees of a word, piece by piece."""
+        if self.tokenizer.normalizer is not None:
+            word = self.tokenizer.normalizer.normalize_str(word)
+        return self.tokenizer.pre_tokenizer.pre_tokenize_str(word)
+
+    def _parts(self, word: str, core: str) -> bool:
+        """Whether the pieces of ``word`` are those of ``core`` and then those of what follows it."""
+        marks = word[len(core) :]
+        if marks not in self.marks:
+            if len(self.marks) > 10_000:
+                self.marks.clear()
+            self.marks[marks] = [p for p, _ in self._pieces(marks)]
+        whole, head = self._pieces(word), self._pieces(core)
+        return whole[: len(head)] == head and [p for p, _ in whole[len(head) :]] == self.marks[marks]
+
     def _learn_ids(self, words: list[bytes]) -> None:
         (out,) = self.tokenizer.encode_batch_fast([self.between.join([w.decode() for w in words])], add_special_tokens=False)
         ids = np.array(out.ids, "<u4")
