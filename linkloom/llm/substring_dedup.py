@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from linkloom.llm.words import WordHashes, deal_rows, mix, runs, slices, windows
+from linkloom.llm.words import WordHashes, deal_rows, mix, runs, slices, tidied, windows
 from linkloom.session import Scratch, partitions_for
 
 _LAST = (1 << 63) - 1
@@ -39,30 +39,30 @@ def super_kmers(hashes: np.ndarray, k: int, m: int) -> tuple[np.ndarray, np.ndar
 
 class _Flush:
     def __init__(self):
-        self.ids, self.starts, self.counts, self.keys = [], [], [], []
+        self.ids, self.tags, self.starts, self.counts, self.keys = [], [], [], [], []
         self.texts: list[bytes] = []
         self.first: dict[bytes, int] = {}
         self.sent = 0
 
-    def add(self, doc: int, start: int, count: int, key: int, text: bytes) -> None:
+    def add(self, doc: int, tag: int, start: int, count: int, key: int, text: bytes) -> None:
         """Keep the earliest place of ``text``; a later one is only marked."""
         at = len(self.ids)
         had = self.first.setdefault(text, at)
-        self.ids.append(doc), self.starts.append(start), self.counts.append(count), self.keys.append(key)
-        if had == at:
+        if had != at and (doc, tag, start) == (self.ids[had], self.tags[had], self.starts[had]):
+            return  # a repeated row: what goes from the first goes from it
+        self.ids.append(doc), self.tags.append(tag), self.starts.append(start), self.counts.append(count), self.keys.append(key)
+        if had == at or doc == self.ids[had] and tag != self.tags[had]:  # new, or another row of that id: neither starts earlier
             self.texts.append(text)
             self.sent += len(text)
         elif (doc, start) < (self.ids[had], self.starts[had]):
             self.first[text] = at
             self.texts.append(text)
             self.texts[had] = None
-        elif (doc, start) == (self.ids[had], self.starts[had]):  # a repeated row: neither starts earlier
-            self.texts.append(text)
         else:
             self.texts.append(None)
 
     def rows(self, buckets: int) -> pa.RecordBatch:
-        ids, starts, counts = np.array(self.ids, np.int64), np.array(self.starts, np.uint32), np.array(self.counts, np.uint32)
+        ids, tags, starts, counts = np.array(self.ids, np.int64), np.array(self.tags, np.int32), np.array(self.starts, np.uint32), np.array(self.counts, np.uint32)
         bucket = ((mix(np.array(self.keys, np.uint64)) >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int32)
         sent = np.fromiter((t is not None for t in self.texts), bool, len(self.texts))
         order = np.argsort(bucket, kind="stable")
@@ -72,26 +72,26 @@ class _Flush:
             go, stay = at[sent[at]], at[~sent[at]]
             blob = pa.compress(b"\n".join(self.texts[i] for i in go), codec="zstd", asbytes=True) if len(go) else b""
             size = sum(len(self.texts[i]) + 1 for i in go)
-            out.append((int(bucket[at[0]]), size, blob, ids[go].tobytes(), starts[go].tobytes(), ids[stay].tobytes(), starts[stay].tobytes(), counts[stay].tobytes()))
+            out.append((int(bucket[at[0]]), size, blob, ids[go].tobytes(), tags[go].tobytes(), starts[go].tobytes(), ids[stay].tobytes(), tags[stay].tobytes(), starts[stay].tobytes(), counts[stay].tobytes()))
         return deal_rows(out, _PACKETS)
 
 
-_PACKETS = {"bucket": pa.int32(), "size": pa.int64(), "blob": pa.binary(), "ids": pa.binary(), "starts": pa.binary(), "m_ids": pa.binary(), "m_starts": pa.binary(), "m_counts": pa.binary()}
-_PACKETS_SQL = "bucket int, size long, blob binary, ids binary, starts binary, m_ids binary, m_starts binary, m_counts binary"
+_PACKETS = {"bucket": pa.int32(), "size": pa.int64()} | dict.fromkeys(("blob", "ids", "tags", "starts", "m_ids", "m_tags", "m_starts", "m_counts"), pa.binary())
+_PACKETS_SQL = "bucket int, size long, blob binary, ids binary, tags binary, starts binary, m_ids binary, m_tags binary, m_starts binary, m_counts binary"
 
 
 def _packets(k: int, m: int, buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, flush = WordHashes(), _Flush()
         for batch in slices(batches, "text"):
-            for doc, text in zip(batch.column("id").to_pylist(), batch.column("text").to_pylist(), strict=True):
+            for doc, tag, text in zip(*(batch.column(c).to_pylist() for c in ("id", "tag", "text")), strict=True):
                 words = (text or "").encode().split()
                 if len(words) < k:
                     continue
                 cut, keys = super_kmers(hashes.of(words), k, m)
                 cut = cut.tolist()
                 for a, b, key in zip(cut[:-1], cut[1:], keys.tolist(), strict=True):
-                    flush.add(doc, a, b - a, key, b" ".join(words[a : b + k - 1]))
+                    flush.add(doc, tag, a, b - a, key, b" ".join(words[a : b + k - 1]))
                 if flush.sent > _FLUSH:
                     yield flush.rows(buckets)
                     flush = _Flush()
@@ -119,8 +119,11 @@ def window_hashes(items: np.ndarray, k: int) -> np.ndarray:
         return h
 
 
-def later_windows(items: np.ndarray, at: np.ndarray, doc: np.ndarray, start: np.ndarray, k: int) -> np.ndarray:
-    """Which windows (k items from ``at``, of document ``doc`` from word ``start``) repeat one that starts earlier."""
+def later_windows(items: np.ndarray, at: np.ndarray, doc: np.ndarray, tag: np.ndarray, start: np.ndarray, k: int) -> np.ndarray:
+    """Which windows (k items from ``at``, of document ``doc`` from word ``start``) repeat one that starts earlier.
+
+    Rows of one ``doc`` with different tags are different rows: neither's windows start earlier than the other's.
+    """
     h = window_hashes(items, k)[at]
     order = np.argsort(h)
     s = h[order]
@@ -131,25 +134,30 @@ def later_windows(items: np.ndarray, at: np.ndarray, doc: np.ndarray, start: np.
     out = np.zeros(len(at), bool)
     if not len(some):
         return out
-    some = some[np.lexsort((start[some], doc[some], h[some]))]
+    some = some[np.lexsort((start[some], tag[some], doc[some], h[some]))]
     cut = runs(h[some])
     head = np.repeat(cut[:-1], np.diff(cut))
-    later = (doc[some] != doc[some[head]]) | (start[some] != start[some[head]])
+    # the first of the same hash and row: the window's own row counts only up to where it starts
+    new = np.ones(len(some), bool)
+    new[1:] = (h[some[1:]] != h[some[:-1]]) | (doc[some[1:]] != doc[some[:-1]]) | (tag[some[1:]] != tag[some[:-1]])
+    own = np.maximum.accumulate(np.where(new, np.arange(len(some)), 0))
+    later = (doc[some] != doc[some[head]]) | (start[some] != start[some[own]])
     same = np.ones(len(some), bool)
     for i in range(k):
         same &= items[at[some] + i] == items[at[some[head]] + i]
     out[some] = later
     if not same.all():  # equal hashes of different words: compare the words themselves
         for r in np.unique(head[~same]):
-            first: dict[bytes, tuple] = {}
+            seen: dict[bytes, int] = {}
+            own_first: dict[tuple, int] = {}
             for w in some[r : cut[np.searchsorted(cut, r, "right")]]:
-                place = (doc[w], start[w])
-                out[w] = place != first.setdefault(items[at[w] : at[w] + k].tobytes(), place)
+                words = items[at[w] : at[w] + k].tobytes()
+                out[w] = doc[w] != seen.setdefault(words, doc[w]) or start[w] != own_first.setdefault((words, doc[w], tag[w]), start[w])
     return out
 
 
-_MARKS = {"owner": pa.int32(), "ids": pa.binary(), "starts": pa.binary(), "counts": pa.binary()}
-_MARKS_SQL = "owner int, ids binary, starts binary, counts binary"
+_MARKS = {"owner": pa.int32()} | dict.fromkeys(("ids", "tags", "starts", "counts"), pa.binary())
+_MARKS_SQL = "owner int, ids binary, tags binary, starts binary, counts binary"
 
 
 def _marks(k: int, owners: int):
@@ -158,15 +166,15 @@ def _marks(k: int, owners: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, list] = {}
         for batch in batches:
-            for row in zip(*(batch.column(i).to_pylist() for i in range(8)), strict=True):
+            for row in zip(*(batch.column(i).to_pylist() for i in range(10)), strict=True):
                 held.setdefault(row[0], []).append(row[1:])
         for bucket in list(held):
             number: dict[bytes, int] = {}
-            items, lengths, ids, starts, m_ids, m_starts, m_counts = ([] for _ in range(7))
+            items, lengths, ids, tags, starts, m_ids, m_tags, m_starts, m_counts = ([] for _ in range(9))
             packets = held.pop(bucket)
             while packets:
                 size, blob, *rest = packets.pop()
-                for to, data, kind in zip((ids, starts, m_ids, m_starts, m_counts), rest, (np.int64, np.uint32, np.int64, np.uint32, np.uint32), strict=True):
+                for to, data, kind in zip((ids, tags, starts, m_ids, m_tags, m_starts, m_counts), rest, (np.int64, np.int32, np.uint32, np.int64, np.int32, np.uint32, np.uint32), strict=True):
                     to.append(np.frombuffer(data, kind))
                 if not size:
                     continue
@@ -175,7 +183,7 @@ def _marks(k: int, owners: int):
                     lengths.append(len(words))
                     items.append(np.fromiter((number.setdefault(w, len(number)) for w in words), np.uint32, len(words)))
             del number
-            m_id, m_start, m_count = np.concatenate(m_ids), np.concatenate(m_starts).astype(np.int64), np.concatenate(m_counts).astype(np.int64)
+            m_id, m_tag, m_start, m_count = np.concatenate(m_ids), np.concatenate(m_tags), np.concatenate(m_starts).astype(np.int64), np.concatenate(m_counts).astype(np.int64)
             if lengths:
                 item, length = np.concatenate(items), np.array(lengths)
                 del items
@@ -183,43 +191,43 @@ def _marks(k: int, owners: int):
                 begin = np.cumsum(length) - length
                 step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
                 at = np.repeat(begin, n) + step
-                doc, start = np.repeat(np.concatenate(ids), n), np.repeat(np.concatenate(starts).astype(np.int64), n) + step
-                gone = later_windows(item, at, doc, start, k)
-                m_id, m_start, m_count = np.r_[m_id, doc[gone]], np.r_[m_start, start[gone]], np.r_[m_count, np.ones(gone.sum(), np.int64)]
+                doc, tag, start = np.repeat(np.concatenate(ids), n), np.repeat(np.concatenate(tags), n), np.repeat(np.concatenate(starts).astype(np.int64), n) + step
+                gone = later_windows(item, at, doc, tag, start, k)
+                m_id, m_tag, m_start, m_count = np.r_[m_id, doc[gone]], np.r_[m_tag, tag[gone]], np.r_[m_start, start[gone]], np.r_[m_count, np.ones(gone.sum(), np.int64)]
             if len(m_id):
-                order = np.lexsort((m_start, m_id))
-                m_id, m_start, m_count = m_id[order], m_start[order], m_count[order]
+                order = np.lexsort((m_start, m_tag, m_id))
+                m_id, m_tag, m_start, m_count = m_id[order], m_tag[order], m_start[order], m_count[order]
                 new = np.ones(len(m_id), bool)
-                new[1:] = (m_id[1:] != m_id[:-1]) | (m_start[1:] != m_start[:-1] + m_count[:-1])
+                new[1:] = (m_id[1:] != m_id[:-1]) | (m_tag[1:] != m_tag[:-1]) | (m_start[1:] != m_start[:-1] + m_count[:-1])
                 head = np.flatnonzero(new)
-                yield _dealt(m_id[head], m_start[head].astype(np.uint32), np.add.reduceat(m_count, head).astype(np.uint32), owners)
+                yield _dealt(m_id[head], m_tag[head], m_start[head].astype(np.uint32), np.add.reduceat(m_count, head).astype(np.uint32), owners)
 
     return run
 
 
-def _dealt(doc: np.ndarray, start: np.ndarray, count: np.ndarray, owners: int) -> pa.RecordBatch:
-    owner = (mix(doc.view(np.uint64)) % np.uint64(owners)).astype(np.int32)
+def _dealt(doc: np.ndarray, tag: np.ndarray, start: np.ndarray, count: np.ndarray, owners: int) -> pa.RecordBatch:
+    owner = (mix(doc.view(np.uint64) ^ tag.astype(np.uint64)) % np.uint64(owners)).astype(np.int32)
     order = np.argsort(owner, kind="stable")
     cut = runs(owner[order])
-    return deal_rows([(int(owner[order[a]]), doc[order[a:b]].tobytes(), start[order[a:b]].tobytes(), count[order[a:b]].tobytes()) for a, b in zip(cut[:-1], cut[1:], strict=True)], _MARKS)
+    return deal_rows([(int(owner[order[a]]), *(x[order[a:b]].tobytes() for x in (doc, tag, start, count))) for a, b in zip(cut[:-1], cut[1:], strict=True)], _MARKS)
 
 
-_BY_DOC = {"id": pa.int64(), "starts": pa.binary(), "counts": pa.binary()}
+_BY_ROW = {"id": pa.int64(), "tag": pa.int32(), "starts": pa.binary(), "counts": pa.binary()}
 
 
-def _by_document(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    parts: list[list] = [[], [], []]
+def _by_row(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    parts: list[list] = [[], [], [], []]
     for batch in batches:
-        for i, kind in enumerate((np.int64, np.uint32, np.uint32)):
+        for i, kind in enumerate((np.int64, np.int32, np.uint32, np.uint32)):
             parts[i] += [np.frombuffer(x, kind) for x in batch.column(i + 1).to_pylist()]
     if not parts[0]:
         return
-    doc, start, count = (np.concatenate(p) for p in parts)
-    order = np.lexsort((start, doc))
-    doc, start, count = doc[order], start[order], count[order]
-    cut = runs(doc)
+    doc, tag, start, count = (np.concatenate(p) for p in parts)
+    order = np.lexsort((start, tag, doc))
+    doc, tag, start, count = doc[order], tag[order], start[order], count[order]
+    cut = np.r_[0, np.flatnonzero((doc[1:] != doc[:-1]) | (tag[1:] != tag[:-1])) + 1, len(doc)]
     for i in range(0, len(cut) - 1, 2000):
-        yield deal_rows([(int(doc[a]), start[a:b].tobytes(), count[a:b].tobytes()) for a, b in zip(cut[i : i + 2000], cut[i + 1 : i + 2001], strict=False)], _BY_DOC)
+        yield deal_rows([(int(doc[a]), int(tag[a]), start[a:b].tobytes(), count[a:b].tobytes()) for a, b in zip(cut[i : i + 2000], cut[i + 1 : i + 2001], strict=False)], _BY_ROW)
 
 
 def _keep(k: int, rest: list[str]):
@@ -254,23 +262,26 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     the input. -> the columns of ``docs`` (text untouched), ``kept`` (words left, joined by one
     space), ``n_words``, ``n_removed`` (long). Columns of ``docs`` with these names are replaced.
 
-    A null, blank or short text (under k words) loses nothing; its ``kept`` is its words, ''
-    for none. A null id counts as larger than any other; among null ids a hash of the text decides. Rows that share id
-    and text start at the same places, so neither is earlier. Ids name one text: where two texts share one, words at
-    the places marked in either go from both.
+    A null, blank or short text (under k words) loses nothing; its ``kept`` is its words, '' for none. A very long text is
+    cut into super-k-mers like any other. A null id counts as larger than any other; among null ids a hash of the text
+    decides. Rows that share id and text start at the same places, so neither is earlier; different texts under one id are
+    different rows, neither earlier than the other, and each loses what starts earlier under a smaller id or in itself (texts of one
+    id are told apart by 32 bits of a hash). Other columns are kept as they are; an empty table stays empty.
     """
     if not 1 <= m <= k:
         raise ValueError("m must be from 1 to k")
     scratch = Scratch(docs.sparkSession, "substring-dedup")
-    parts = partitions_for(docs, 3 << 20)
-    nameless = F.lit(_LAST) - F.pmod(F.xxhash64(text_col), F.lit(1 << 40))
+    parts = partitions_for(docs, text_col, 3 << 20)
+    text_hash = F.xxhash64(text_col)
+    nameless = F.lit(_LAST) - F.pmod(text_hash, F.lit(1 << 40))
     whole = F.coalesce(F.col(id_col).cast("long"), nameless)
-    packets = docs.select(whole.alias("id"), F.col(text_col).alias("text")).mapInArrow(_packets(k, m, parts), _PACKETS_SQL)
-    marks = packets.repartitionById(parts, "bucket").mapInArrow(_marks(k, parts), _MARKS_SQL)
-    marks = scratch.table("marks", marks.repartitionById(parts, "owner").mapInArrow(_by_document, "id long, starts binary, counts binary"))
+    tag = F.shiftright(text_hash, 32).cast("int")
+    packets = docs.select(whole.alias("id"), tag.alias("tag"), F.col(text_col).alias("text")).mapInArrow(tidied(_packets(k, m, parts)), _PACKETS_SQL)
+    marks = packets.repartitionById(parts, "bucket").mapInArrow(tidied(_marks(k, parts)), _MARKS_SQL)
+    marks = scratch.table("marks", marks.repartitionById(parts, "owner").mapInArrow(_by_row, "id long, tag int, starts binary, counts binary"))
     del packets
     rest = [c for c in docs.columns if c not in ("kept", "n_words", "n_removed")]
-    full = docs.select(*rest, F.col(text_col).alias("__text"), whole.alias("__id"))
-    full = full.join(marks.toDF("__id", "__starts", "__counts"), "__id", "left").drop("__id")
+    full = docs.select(*rest, F.col(text_col).alias("__text"), whole.alias("__id"), tag.alias("__tag"))
+    full = full.join(marks.toDF("__id", "__tag", "__starts", "__counts"), ["__id", "__tag"], "left").drop("__id", "__tag")
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name in rest)
-    return full.mapInArrow(_keep(k, rest), f"{kinds}, kept string, n_words long, n_removed long")
+    return full.mapInArrow(tidied(_keep(k, rest)), f"{kinds}, kept string, n_words long, n_removed long")
