@@ -10,7 +10,6 @@ are computed for all rows, batch by batch on the executors.
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -20,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from linkloom.llm.boosting import Isotonic, Trees, fit_isotonic, fit_trees
-from linkloom.llm.words import slices
+from linkloom.llm.words import slices, tidied
 from linkloom.session import Scratch
 
 # insults in four languages: a list of our own, of common words
@@ -126,26 +125,25 @@ class Model:
         return np.clip(self.curve(self.trees.margin(x)), 0.0, 1.0)
 
 
-def _unit_counts(wanted: frozenset[str] | None):
-    """(text) -> partial document counts of units; of the wanted ones only, if given."""
+def _unit_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(text, toxic) -> partial document counts of units, in toxic texts and in others."""
+    counts: dict[str, list[int]] = {}
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: Counter[str] = Counter()
-
-        def flush():
-            out = pa.record_batch([pa.array(counts.keys(), pa.string()), pa.array(counts.values(), pa.int64())], ["unit", "n"])
-            counts.clear()
-            return out
+    def flush():
+        columns = counts.keys(), [c[1] for c in counts.values()], [c[0] for c in counts.values()]
+        out = pa.record_batch([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int64(), pa.int64()), strict=True)], ["unit", "yes", "no"])
+        counts.clear()
+        return out
 
-        for batch in slices(batches, "text"):
-            for text in batch.column("text").to_pylist():
-                seen = {u for w in {bare(w) for w in (text or "").encode().split()} if w for u in units(w)}
-                counts.update(seen if wanted is None else seen & wanted)
-                if len(counts) > 300_000:
-                    yield flush()
-        yield flush()
-
-    return run
+    for batch in slices(batches, "text"):
+        for text, toxic in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist(), strict=True):
+            for u in {u for w in {bare(w) for w in (text or "").encode().split()} if w for u in units(w)}:
+                if (c := counts.get(u)) is None:
+                    c = counts[u] = [0, 0]
+                c[toxic] += 1
+            if len(counts) > 200_000:
+                yield flush()
+    yield flush()
 
 
 def _features(learned: frozenset[str], columns: list[str]):
@@ -159,30 +157,27 @@ def _features(learned: frozenset[str], columns: list[str]):
 
 
 def learn_lexicon(docs: DataFrame, positives: int, negatives: int, least: int = 6, z: float = 6.0, most: int = 2000) -> frozenset[str]:
-    """Units of ``docs(text, toxic)`` whose share among toxic texts is ``z`` standard errors above that among the others."""
+    """Units of ``docs(text, toxic)`` whose share among toxic texts is ``z`` standard errors above that among the others, and three times it.
+
+    All units of all texts are counted and compared; ``most`` is the lexicon's size, the strongest ones (ties by unit).
+    """
     if not positives or not negatives:
         return frozenset()
-    pos = docs.where("toxic = 1").select("text").mapInArrow(_unit_counts(None), "unit string, n long")
-    top = pos.groupBy("unit").agg(F.sum("n").alias("n")).where(F.col("n") >= least).orderBy(F.desc("n"), "unit").limit(50_000).collect()
-    yes = {r["unit"]: r["n"] for r in top}
-    neg = docs.where("toxic = 0").select("text").mapInArrow(_unit_counts(frozenset(yes)), "unit string, n long")
-    no = {r["unit"]: r["n"] for r in neg.groupBy("unit").agg(F.sum("n").alias("n")).collect()}
-    scored = []
-    for unit, a in yes.items():
-        b = no.get(unit, 0)
-        share = (a + b) / (positives + negatives)
-        error = np.sqrt(share * (1 - share) * (1 / positives + 1 / negatives)) + 1e-9
-        strength = (a / positives - b / negatives) / error
-        if strength >= z and a / positives > 3 * b / negatives:
-            scored.append((-strength, unit))
-    return frozenset(u for _, u in sorted(scored)[:most])
+    counted = docs.select("text", "toxic").mapInArrow(tidied(_unit_counts), "unit string, yes long, no long").groupBy("unit").agg(F.sum("yes").alias("yes"), F.sum("no").alias("no"))
+    share = (F.col("yes") + F.col("no")) / F.lit(positives + negatives)
+    error = F.sqrt(share * (1 - share) * F.lit(1 / positives + 1 / negatives)) + F.lit(1e-9)
+    strength = F.round((F.col("yes") / F.lit(positives) - F.col("no") / F.lit(negatives)) / error, 9)
+    strong = counted.where((F.col("yes") >= least) & (strength >= z) & (F.col("yes") * negatives > F.col("no") * (3 * positives)))
+    return frozenset(r["unit"] for r in strong.orderBy(F.desc(strength), "unit").select("unit").limit(most).collect())
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = 20_000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
     """Fit on at most ``sample`` of the labelled rows, chosen by a hash of the id.
 
-    A fourth of them only calibrates. Rows with a null label or id, and ids with both labels, are not used. Without
-    both classes, or with no rows, every text gets the same score.
+    A fourth of them only calibrates: neither lexicon nor trees see it (with fewer than 40 rows all learn, and all
+    calibrate). Rows with a null label or id, and ids with both labels, are not used; repeated labels count once, and
+    each text of an id that several have is learnt from. Null and empty texts are texts without words. Without both classes, or
+    with no rows, every text gets the same score. Other columns are not looked at.
     """
     scratch = Scratch(docs.sparkSession, "toxicity")
     one = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.min(label_col).alias("toxic"), F.max(label_col).alias("high"))
@@ -191,10 +186,15 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 20_000, id_col: str
     # at most ``sample`` short rows
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "id")
     texts = scratch.table("texts", texts)
-    counts = {r["toxic"]: r["n"] for r in texts.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
-    learned = learn_lexicon(texts, counts.get(1, 0), counts.get(0, 0))
-    rows = texts.mapInArrow(_features(learned, ["h", "toxic"]), "h long, toxic int, x array<double>").orderBy("h").toArrow()
+    total = texts.count()
+    held = F.pmod("h", F.lit(4)) == 0 if total >= 40 else F.lit(False)
+    # what calibrates has no part in the lexicon, nor in the trees
+    learning = texts.where(~held)
+    counts = {r["toxic"]: r["n"] for r in learning.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    learned = learn_lexicon(learning, counts.get(1, 0), counts.get(0, 0))
+    rows = texts.select("text", "h", F.col("id").cast("string").alias("id"), "toxic").mapInArrow(_features(learned, ["h", "id", "toxic"]), "h long, id string, toxic int, x array<double>").toArrow()
     scratch.close()
+    rows = rows.sort_by([("h", "ascending"), ("id", "ascending")])  # at most ``sample`` rows
     h, y = np.array(rows.column("h").to_pylist(), np.int64), np.array(rows.column("toxic").to_pylist(), np.float64)
     x = np.array(rows.column("x").to_pylist(), np.float64).reshape(-1, len(FEATURES))
     held = (h % 4 == 0) if len(h) >= 40 else np.zeros(len(h), bool)
@@ -216,10 +216,11 @@ def _scores(model: Model, columns: list[str], text: str):
 def toxicity_scores(docs: DataFrame, model: Model, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
     """-> the columns of ``docs`` (or those in ``keep``) and ``score`` (double, 0 to 1, higher: toxic likelier), for every row.
 
-    A null or empty text is scored as a text without words. A column ``score`` of ``docs`` is replaced.
+    A null or empty text is scored as a text without words; a very long one as a whole. A column ``score`` of ``docs`` is
+    replaced; other columns, null ids and repeated rows come through as they are. An empty table has no scores.
     """
     columns = [c for c in (docs.columns if keep is None else keep) if c != "score"]
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*columns).schema)
     if text_col in columns:
-        return docs.select(*columns).mapInArrow(_scores(model, columns, text_col), f"{kinds}, score double")
-    return docs.select(*columns, text_col).mapInArrow(_scores(model, columns, text_col), f"{kinds}, score double")
+        return docs.select(*columns).mapInArrow(tidied(_scores(model, columns, text_col)), f"{kinds}, score double")
+    return docs.select(*columns, text_col).mapInArrow(tidied(_scores(model, columns, text_col)), f"{kinds}, score double")
