@@ -11,7 +11,8 @@ histogram of lengths, at a cost that does not grow with the number of documents:
 2.  *Best fit, decreasing*, of the rest: each class goes to the fullest sequences it fits in.
 
 The plan gives each length's pieces, by rank, a sequence and an offset. Ranks are counted in
-parallel, by length and a salt, so that a length shared by a third of all pieces is no bottleneck.
+parallel: a length's pieces are dealt to groups by hash, the more groups the more pieces it has, so that a
+length shared by a third of all pieces is no bottleneck.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from linkloom.llm.tokens import encoder
-from linkloom.llm.words import slices
+from linkloom.llm.words import slices, tidied
 from linkloom.session import Scratch
 
 # (length, first rank, pieces, first sequence, offset): ranks and sequences go up together
@@ -145,10 +146,11 @@ def plan(counts: dict[int, int], capacity: int) -> tuple[list[Run], int]:
     return sorted(runs + more), sequence
 
 
-_PIECES = "id long, row long, piece int, start long, length int, ids_crc32 long, salt int"
+_PIECES = "id long, row long, piece int, start long, length int, ids_crc32 long"
+_RANKED_TOGETHER = 20_000
 
 
-def _pieces(path: str, end_id: int | None, capacity: int, salts: int, keep_ids: bool):
+def _pieces(path: str, end_id: int | None, capacity: int, keep_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(path).encode
         end = b"" if end_id is None else np.array([end_id], "<u4").tobytes()
@@ -158,10 +160,9 @@ def _pieces(path: str, end_id: int | None, capacity: int, salts: int, keep_ids:
                 data += end
                 for i, a in enumerate(range(0, len(data), 4 * capacity)):
                     part = data[a : a + 4 * capacity]
-                    crc = zlib.crc32(part)
-                    out.append((key, row, i, a // 4, len(part) // 4, crc, (crc ^ (row & 0xFFFFFFFF)) % salts, *([part] if keep_ids else [])))
-            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), *([pa.binary()] if keep_ids else [])]
-            names = ["id", "row", "piece", "start", "length", "ids_crc32", "salt", *(["ids"] if keep_ids else [])]
+                    out.append((key, row, i, a // 4, len(part) // 4, zlib.crc32(part), *([part] if keep_ids else [])))
+            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), *([pa.binary()] if keep_ids else [])]
+            names = ["id", "row", "piece", "start", "length", "ids_crc32", *(["ids"] if keep_ids else [])]
             if out:
                 yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names)
 
@@ -184,7 +185,7 @@ def _place(runs: list[Run]):
     return run
 
 
-def pack(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int | None = 0, id_col: str = "doc_id", text_col: str = "text", salts: int = 64, keep_ids: bool = False) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int | None = 0, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = False) -> DataFrame:
     """Pack documents into as few sequences of at most ``capacity`` tokens as the method finds.
 
     -> a row for each piece: the id, ``piece``, ``start`` (ids of the document before it), ``length``, ``ids_crc32``,
@@ -192,28 +193,27 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int | No
     (little-endian unsigned 32-bit numbers).
 
     Only documents longer than ``capacity`` are cut. ``end_id`` follows each document; with None, a document
-    without tokens has no piece. A null text is empty. Rows that repeat, or share an id, are packed each for
-    itself. Null ids are kept. tokenizer: a file that every worker can read at this path.
+    without tokens has no piece. A null text is empty. A very long text has as many pieces as it needs. Rows that repeat, or
+    share an id, are packed each for itself. Null ids are kept; other columns are not looked at. An empty table has no
+    pieces. tokenizer: a file that every worker can read at this path.
     """
     scratch = Scratch(docs.sparkSession, "packing")
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(id_col, text_col).alias("row"), F.col(text_col).alias("text"))
     schema = _PIECES + (", ids binary" if keep_ids else "")
-    pieces = scratch.table("pieces", rows.mapInArrow(_pieces(tokenizer, end_id, capacity, salts, keep_ids), schema))
-
-    groups = pieces.groupBy("length", "salt").agg(F.count("*").alias("n"))
-    groups = groups.collect()  # at most capacity * salts rows
-    counts: dict[int, int] = {}
-    base = []
-    for g in sorted(groups, key=lambda g: (g["length"], g["salt"])):
-        base.append((g["length"], g["salt"], counts.get(g["length"], 0)))
-        counts[g["length"]] = counts.get(g["length"], 0) + g["n"]
+    pieces = scratch.table("pieces", rows.mapInArrow(tidied(_pieces(tokenizer, end_id, capacity, keep_ids)), schema))
+
+    counts = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most capacity rows
     names = [id_col, "piece", "start", "length", "ids_crc32", *(["ids"] if keep_ids else []), "sequence_id", "offset"]
     if not counts:
         return pieces.withColumns({"sequence_id": F.lit(0).cast("long"), "offset": F.lit(0).cast("long")}).withColumnRenamed("id", id_col).select(*names)
     runs, _ = plan(counts, capacity)
-    base = docs.sparkSession.createDataFrame(base, "length int, salt int, base long")
+    # each length's pieces are ranked in as many groups as they need to stay small, and groups one after the other
+    ways = F.split(F.lit(",".join(str(max(1, -(-counts.get(x, 0) // _RANKED_TOGETHER))) for x in range(capacity + 1))), ",").cast("array<int>")
+    salted = pieces.withColumn("salt", F.pmod(F.xxhash64("row", "piece", "ids_crc32"), F.get(ways, F.col("length"))).cast("int"))
+    before = Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
+    base = salted.groupBy("length", "salt").agg(F.count("*").alias("n")).select("length", "salt", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
     inner = F.row_number().over(Window.partitionBy("length", "salt").orderBy("row", "id", "piece"))
-    ranked = pieces.withColumn("inner", inner).join(F.broadcast(base), ["length", "salt"])  # capacity * salts rows at most
+    ranked = salted.withColumn("inner", inner).join(base, ["length", "salt"])
     ranked = ranked.select("id", "piece", "start", "length", "ids_crc32", *(["ids"] if keep_ids else []), (F.col("inner") - 1 + F.col("base")).alias("rank"))
     kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in ranked.schema if f.name != "rank")
     out = ranked.mapInArrow(_place(runs), f"{kinds}, sequence_id long, offset long")
