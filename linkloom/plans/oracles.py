@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from linkloom.functions.text import ADDRESS_WORDS, FRENCH_WORDS, LEGAL_SUFFIXES
 from linkloom.operators.decide import threshold_grid
+from linkloom.operators.features import FEATURES
 
 _SUFFIXES = "|".join(LEGAL_SUFFIXES)
 _NORMAL = r"trim(regexp_replace(lower(coalesce(text, '')), '[^\p{L}\p{M}\p{N}]+', ' ', 'g'))"
@@ -141,9 +142,7 @@ _ORACLES: dict[str, str] = {
     "hash_sample": _PAIRS + "SELECT qid, tid, label FROM scored ORDER BY md5(qid || ':' || tid || ':7'), qid, tid LIMIT 100",
     "stratified_sample": _PAIRS + "SELECT qid, tid, country FROM scored QUALIFY row_number() OVER (PARTITION BY country ORDER BY md5(qid || ':' || tid || ':7'), qid, tid) <= 10",
     "hard_negatives": _PAIRS + "SELECT qid, tid, score FROM scored WHERE label = 0 QUALIFY row_number() OVER (PARTITION BY qid ORDER BY score DESC, tid) <= 5",
-    "training_pairs": _PAIRS + "SELECT qid, tid, label FROM scored WHERE label = 1 UNION ALL SELECT qid, tid, label FROM (SELECT * FROM scored WHERE label = 0 QUALIFY row_number() OVER (PARTITION BY qid ORDER BY score DESC, tid) <= 3)",
-    "structural_negatives": _RECORDS + """SELECT q.qid, t.tid FROM q JOIN t ON q.country = t.country AND coalesce(string_split(q.name, ' ')[2], '') = coalesce(string_split(t.name, ' ')[2], '') WHERE q.name <> '' AND t.name <> '' AND q.nt <> t.nt
-        AND jaro_winkler_similarity(q.name, t.name) >= CAST(0.6 AS DOUBLE) AND jaro_winkler_similarity(string_split(q.name, ' ')[1], string_split(t.name, ' ')[1]) < CAST(0.6 AS DOUBLE)""",
+    "training_pairs": _PAIRS + "SELECT qid, tid, label FROM scored WHERE label = 1 UNION ALL SELECT qid, tid, label FROM (SELECT * FROM scored WHERE label = 0 QUALIFY row_number() OVER (PARTITION BY qid ORDER BY score DESC, tid) <= 20)",
     "pilot_targets": _RECORDS + """, refs AS (SELECT qid, row_number() OVER (ORDER BY entity_id) AS rid FROM q), tg AS (SELECT tid, source, row_number() OVER (PARTITION BY source ORDER BY tid) AS rid FROM t)
         SELECT tid, source, rid FROM tg WHERE rid <= 50 OR tid IN (SELECT truth.tid FROM truth JOIN refs ON truth.qid = refs.qid WHERE refs.rid <= 100)""",
     "dense_topk": """WITH v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings), s AS (SELECT a.vec_id AS qid, b.vec_id AS tid, round(list_inner_product(a.e, b.e) / (sqrt(list_inner_product(a.e, a.e)) * sqrt(list_inner_product(b.e, b.e))), 6) AS s FROM v a JOIN v b ON a.label = b.label WHERE a.vec_id % 3 = 0 AND b.vec_id % 3 <> 0)
@@ -195,7 +194,7 @@ rare AS (SELECT c.qid, c.source, c.country, split_part(r.term, ':', 1) AS field,
 _PASSES = """
 lists AS (SELECT qid, source, country, field, list({'term': term, 'df': df} ORDER BY place) AS l FROM rare GROUP BY ALL),
 passes AS (
-  SELECT qid, source, country, field || '_any' AS pass_id, CASE field WHEN 'n' THEN 2 ELSE 4 END AS bit, 1 AS need, list_filter(l[1:3], lambda x: x.df <= 50) AS l FROM lists WHERE field IN ('n', 'a')
+  SELECT qid, source, country, field || '_any' AS pass_id, CASE field WHEN 'n' THEN 2 ELSE 4 END AS bit, 1 AS need, list_filter(l[1:3], lambda x: x.df <= 2000) AS l FROM lists WHERE field IN ('n', 'a')
   UNION ALL SELECT qid, source, country, field || '_01', CASE field WHEN 'n' THEN 2 ELSE 4 END, 2, l[1:2] FROM lists WHERE field IN ('n', 'a') AND len(l) >= 2
   UNION ALL SELECT qid, source, country, field || '_0', CASE field WHEN 'ng' THEN 8 ELSE 16 END, 2, l[1:2] FROM lists WHERE field IN ('ng', 'ag') AND len(l) >= 2
   UNION ALL SELECT qid, source, country, field || '_2', CASE field WHEN 'ng' THEN 8 ELSE 16 END, 2, l[3:4] FROM lists WHERE field IN ('ng', 'ag') AND len(l) >= 4
@@ -205,7 +204,7 @@ asked AS (SELECT qid, source, country, pass_id, bit, need, unnest(l).term AS ter
 scores AS (SELECT a.qid, a.source, a.country, a.pass_id, a.bit, a.need, r.rid, count(*) AS held,
     round(sum(greatest(ln((s.docs - a.df + 0.5::DOUBLE) / (a.df + 0.5::DOUBLE)), 1e-6) * 2.2::DOUBLE / (1 + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * len(d.terms) / s.avg_length))), 9) AS score
   FROM asked a JOIN term_rows r ON r.source = a.source AND r.country = a.country AND r.term = a.term JOIN docs d ON d.source = r.source AND d.rid = r.rid JOIN sizes s ON s.source = a.source AND s.country = a.country GROUP BY ALL),
-hits AS (SELECT *, row_number() OVER (PARTITION BY qid, source, country, pass_id ORDER BY score DESC, rid) AS rank FROM scores WHERE held >= need QUALIFY rank <= 20),
+hits AS (SELECT *, row_number() OVER (PARTITION BY qid, source, country, pass_id ORDER BY score DESC, rid) AS rank FROM scores WHERE held >= need QUALIFY rank <= 100),
 exact_hits AS (SELECT c.qid, c.source, d.rid FROM chosen c JOIN docs x ON x.source = 1 AND x.rid = c.qid JOIN docs d ON d.source = c.source AND d.country = c.country AND d.n = x.n AND d.a = x.a WHERE x.n <> '' AND x.a <> ''),
 fused AS (SELECT qid, source, rid, round(sum(part), 9) AS retrieval_score, bit_or(bit) AS passes, max(exact) AS exact FROM (
     SELECT qid, source, rid, 1 / (rank + 10)::DOUBLE AS part, bit, 0 AS exact FROM hits UNION ALL SELECT qid, source, rid, 2.0, 1, 1 FROM exact_hits) GROUP BY ALL),
@@ -220,6 +219,8 @@ _ORACLES |= {
     "retrieval_recall": _RETRIEVED + """, ks AS (SELECT unnest([20, 50, 100]) AS k) SELECT CAST(k AS BIGINT) AS k, count(*) AS true_pairs, count(*) FILTER (WHERE rank <= k) AS recovered,
         round(CAST(count(*) FILTER (WHERE rank <= k) AS DOUBLE) / greatest(count(*), 1), 6) AS recall FROM ks, truth LEFT JOIN candidates c ON truth.qid = c.qid AND truth.tid = c.tid GROUP BY k""",
     "name_jaro_winkler": _RETRIEVED + "SELECT c.qid, c.tid, round(jaro_winkler_similarity(q.name, t.name), 6) AS similarity FROM candidates c JOIN q ON q.qid = c.qid JOIN t ON t.tid = c.tid",
+    "structural_negatives": _RETRIEVED + """, apart AS MATERIALIZED (SELECT c.qid, c.tid, q.address AS qa, t.address AS ta FROM candidates c JOIN q ON q.qid = c.qid JOIN t ON t.tid = c.tid
+        WHERE (q.nt <> t.nt OR q.nt = '') AND jaro_winkler_similarity(q.name, t.name) < CAST(0.6 AS DOUBLE)) SELECT qid, tid FROM apart WHERE jaro_winkler_similarity(qa, ta) >= CAST(0.8 AS DOUBLE)""",
     "alias_tokens": _RECORDS + f""", w AS (SELECT t.source, {_WORDS.format("q.name")} AS l, {_WORDS.format("t.name")} AS r FROM q JOIN t ON q.country = t.country AND string_split(q.name, ' ')[1] = string_split(t.name, ' ')[1] WHERE q.name <> '' AND t.name <> ''),
         p AS (SELECT source, unnest(l) AS u, unnest(r) AS v FROM w WHERE len(l) = len(r)), c AS (SELECT source, u, v, count(*) AS n FROM p WHERE strlen(u) = length(u) AND strlen(v) <> length(v) AND length(u) >= 3 GROUP BY ALL),
         k AS (SELECT *, sum(n) OVER (PARTITION BY source, u) AS total, row_number() OVER (PARTITION BY source, u ORDER BY n DESC, v) AS place FROM c)
@@ -227,5 +228,87 @@ _ORACLES |= {
 }
 
 
+# -- the 45 features of pairs of parts ----------------------------------------
+
+
+def _ratio(a: str, b: str) -> str:
+    """2 * LCS / both lengths. A row of the LCS table goes through the characters of b; it is the list [LCS of a's first i and what of b has gone by]."""
+    chars = f"string_split({a}, '')"
+    step = f"lambda row, c: list_transform(range(1, length({a}) + 1), lambda j: greatest(row[j], coalesce(list_max(list_transform(list_filter(range(1, j + 1), lambda i: unicode({chars}[i]) = c[1]), lambda i: CASE WHEN i = 1 THEN 1 ELSE row[i - 1] + 1 END)), 0)))"
+    rows = f"list_concat([list_transform(range(1, length({a}) + 1), lambda i: CAST(0 AS BIGINT))], list_transform(string_split({b}, ''), lambda c: [CAST(unicode(c) AS BIGINT)]))"
+    return f"CASE WHEN {a} = '' OR {b} = '' THEN 0.0 ELSE 2.0::DOUBLE * list_reduce({rows}, {step})[length({a})] / (length({a}) + length({b})) END"
+
+
+def _in_both(f: str) -> str:
+    return f"list_intersect(q.{f}, t.{f})"
+
+
+def _part_feature_sql() -> dict[str, str]:
+    some = lambda f: f"len(q.{f}) > 0 AND len(t.{f}) > 0"
+    out = {}
+    for kind, f, words, g in (("name", "n", "nt", "ng"), ("address", "a", "at", "ag")):
+        both = f"q.{f} <> '' AND t.{f} <> ''"
+        out |= {
+            f"{kind}_exact": f"CASE WHEN {both} AND q.{f} = t.{f} THEN 1 ELSE 0 END",
+            f"{kind}_missing": f"CASE WHEN {both} THEN 0 ELSE 1 END",
+            f"{kind}_jaccard": _jaccard(f"q.{words}", f"t.{words}"),
+            f"{kind}_containment": f"CASE WHEN least(len(q.{words}), len(t.{words})) > 0 THEN len({_in_both(words)})::DOUBLE / least(len(q.{words}), len(t.{words})) ELSE 0 END",
+            f"{kind}_gram_jaccard": _jaccard(f"q.{g}", f"t.{g}"),
+            f"{kind}_length_ratio": f"CASE WHEN greatest(length(q.{f}), length(t.{f})) > 0 THEN least(length(q.{f}), length(t.{f}))::DOUBLE / greatest(length(q.{f}), length(t.{f})) ELSE 0 END",
+            f"{kind}_tokens_log": f"ln(1 + least(len(q.{words}), len(t.{words})))",
+            f"{kind}_jaro": f"CASE WHEN {both} THEN jaro_winkler_similarity(q.{f}, t.{f}) ELSE 0 END",
+            f"{kind}_ratio": f"{kind[0]}_ratio",
+            f"{kind}_token_sort": f"{kind[0]}_sort",
+            f"{kind}_token_set": f"CASE WHEN NOT ({both}) THEN 0 WHEN {kind[0]}_shared <> '' AND ({kind[0]}_left = {kind[0]}_shared OR {kind[0]}_right = {kind[0]}_shared) THEN 1 ELSE greatest({kind[0]}_lr, {kind[0]}_sl, {kind[0]}_sr) END",
+        }
+    out |= {
+        "name_core_exact": "CASE WHEN q.core <> '' AND q.core = t.core THEN 1 ELSE 0 END",
+        "name_fold_exact": "CASE WHEN q.n <> '' AND strip_accents(q.n) = strip_accents(t.n) THEN 1 ELSE 0 END",
+        "name_acronym": f"CASE WHEN {some('nt')} AND q.ac = t.ac THEN 1 ELSE 0 END",
+        "number_jaccard": _jaccard("q.num", "t.num"),
+        "number_shared": f"len({_in_both('num')})",
+        "number_conflict": f"CASE WHEN {some('num')} AND len({_in_both('num')}) = 0 THEN 1 ELSE 0 END",
+        "postal_agree": f"CASE WHEN len({_in_both('pc')}) > 0 THEN 1 ELSE 0 END",
+        "postal_conflict": f"CASE WHEN {some('pc')} AND len({_in_both('pc')}) = 0 THEN 1 ELSE 0 END",
+        "script_equal": "CASE WHEN regexp_matches(q.n, '[a-z]') = regexp_matches(t.n, '[a-z]') THEN 1 ELSE 0 END",
+        "country_equal": "CASE WHEN q.country = t.country THEN 1 ELSE 0 END",
+        "rank_inverse": "1.0::DOUBLE / greatest(rank, 1)",
+        "retrieval_score": "1.0::DOUBLE / (rank + 10)",
+        "pass_count": "bit_count(passes::INTEGER)",
+        "candidate_count_log": "ln(1 + count(*) OVER (PARTITION BY q.k))",
+    }
+    out |= {f"{name}_pass": f"(passes >> {i}) & 1" for i, name in enumerate(("exact", "name", "address", "name_gram", "address_gram", "combined"))}
+    return {f: out[f] for f in FEATURES if f in out}
+
+
+def _part_pairs_sql() -> str:
+    sides = []
+    for p, f in (("n", "n"), ("a", "a")):
+        ws = f"{f}t"
+        joined = lambda x: f"array_to_string(list_sort({x}), ' ')"
+        shared, left, right = joined(_in_both(ws)), f"list_filter(q.{ws}, lambda w: NOT list_contains(t.{ws}, w))", f"list_filter(t.{ws}, lambda w: NOT list_contains(q.{ws}, w))"
+        sides.append(f"{shared} AS {p}_shared, trim({shared} || ' ' || {joined(left)}) AS {p}_left, trim({shared} || ' ' || {joined(right)}) AS {p}_right, q.{f} AS {p}_q, t.{f} AS {p}_t, {joined(_WORDS.format(f'q.{f}'))} AS {p}_qs, {joined(_WORDS.format(f't.{f}'))} AS {p}_ts")
+    edits = []
+    for p in "na":
+        pairs = {"ratio": (f"{p}_q", f"{p}_t"), "sort": (f"{p}_qs", f"{p}_ts"), "lr": (f"{p}_left", f"{p}_right"), "sl": (f"{p}_shared", f"{p}_left"), "sr": (f"{p}_shared", f"{p}_right")}
+        edits += [f"{_ratio(a, b)} AS {p}_{name}" for name, (a, b) in pairs.items()]
+    spelt = "array_to_string(list_transform(string_split({0}, ' '), lambda w: CASE w " + " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in ADDRESS_WORDS.items()) + " ELSE w END), ' ')"
+    normal = lambda x: _NORMAL.replace("coalesce(text, '')", x)
+    return f"""WITH p AS (SELECT p_partkey AS k, CASE WHEN p_partkey % 5 = 0 THEN '' ELSE p_type END AS country, p_type || ':' || p_brand || ':' || (p_size % 10) AS block, {normal("p_name")} AS n,
+    {spelt.format(normal("p_brand || ' ' || p_type || ' ' || (p_size * 1000) || ' Rd'"))} AS a FROM part),
+v AS (SELECT *, {_core("n")} AS core, {_set("n")} AS nt, {_set("a")} AS at, {_grams("n")} AS ng, {_grams("a")} AS ag, list_distinct(regexp_extract_all(a, '[0-9]+')) AS num,
+    list_filter(list_distinct(regexp_extract_all(a, '[0-9]+')), lambda d: length(d) IN (5, 6)) AS pc, array_to_string(list_transform({_WORDS.format("n")}, lambda w: substr(w, 1, 1)), '') AS ac FROM p),
+met AS (SELECT q, t, row_number() OVER (PARTITION BY q.k ORDER BY t.k) AS rank, (q.k + t.k) % 64 AS passes, {", ".join(sides)} FROM v q JOIN v t ON q.block = t.block WHERE q.k % 3 = 0 AND t.k % 3 <> 0),
+edits AS (SELECT *, {", ".join(edits)} FROM met),
+plain AS (SELECT q.k AS qid, t.k AS tid, {", ".join(f"CAST({sql} AS FLOAT) AS {name}" for name, sql in _part_feature_sql().items())} FROM edits),
+f AS (SELECT *, CAST(name_ratio::DOUBLE * address_ratio::DOUBLE AS FLOAT) AS name_address_product, CAST(name_ratio::DOUBLE * (1 - address_ratio::DOUBLE) AS FLOAT) AS name_only_evidence,
+    CAST(address_ratio::DOUBLE * (1 - name_ratio::DOUBLE) AS FLOAT) AS address_only_evidence FROM plain)
+"""
+
+
+_ORACLES["pair_features_all"] = _part_pairs_sql() + "SELECT qid, tid, " + ", ".join(f"round(CAST({c} AS DOUBLE), 5) AS {c}" for c in FEATURES) + " FROM f"
+_ORACLES["rule_scores"] = _part_pairs_sql() + """SELECT qid, tid, round(CAST(greatest(name_exact * address_exact, CASE WHEN name_ratio >= 0.93::FLOAT AND address_ratio >= 0.88::FLOAT AND number_conflict = 0 THEN 0.9::FLOAT ELSE 0::FLOAT END) AS DOUBLE), 5) AS score FROM f"""
+
+
 def oracles() -> dict[str, str]:
     return dict(_ORACLES)

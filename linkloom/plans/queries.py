@@ -15,10 +15,7 @@ from linkloom.session import Scratch
 from linkloom.sources import tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-# the values that the SQL of these queries is written with; they drop words of more than 50 records and hits after the 20th
-SETTINGS = retrieval.Settings(k=20, posting_limit=50)
-# the production values: queries named _whole
-WHOLE = retrieval.Settings(k=100, posting_limit=2000)
+SETTINGS = retrieval.Settings(k=100, posting_limit=2000)
 
 
 def query(function):
@@ -299,61 +296,31 @@ def rare_terms(r: Records) -> DataFrame:
     return retrieval.rare_terms(retrieval.query_terms(queries, chosen), stats).select("qid", "source", "country", "field", "term", "df", F.col("place").cast("long").alias("place"))
 
 
-def _pass_hits(r: Records, settings: retrieval.Settings) -> DataFrame:
+@query
+def pass_hits(r: Records) -> DataFrame:
+    """Every pass's best documents, by its own BM25 rank."""
     docs, stats, queries, scratch = _index(r)
     rare = retrieval.rare_terms(retrieval.query_terms(queries, retrieval.blocks(queries, docs)), stats)
-    passes = scratch.table("passes", retrieval._passes(rare, settings))
-    hits = retrieval.pass_hits(passes, docs, settings.k)
+    passes = scratch.table("passes", retrieval._passes(rare, SETTINGS))
+    hits = retrieval.pass_hits(passes, docs, SETTINGS.k)
     return hits.select("qid", "source", "pass_id", "rid", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
-@query
-def pass_hits(r: Records) -> DataFrame:
-    """Every pass's best documents, by its own BM25 rank, at the SQL's limits."""
-    return _pass_hits(r, SETTINGS)
-
-
-@query
-def pass_hits_whole(r: Records) -> DataFrame:
-    """Every pass's best documents, by its own BM25 rank, at the production limits."""
-    return _pass_hits(r, WHOLE)
-
-
-def _rrf_fusion(r: Records, settings: retrieval.Settings) -> DataFrame:
-    found = retrieval.retrieve(r.as_queries(), r.as_documents(), settings)
-    return found.select("qid", "source", "rid", F.round("retrieval_score", 6).alias("retrieval_score"), F.col("passes").cast("long").alias("passes"), F.col("rank").cast("long").alias("rank"))
-
-
 @query
 def rrf_fusion(r: Records) -> DataFrame:
-    """All passes fused, at the SQL's limits."""
-    return _rrf_fusion(r, SETTINGS)
+    """All passes fused."""
+    found = retrieval.retrieve(r.as_queries(), r.as_documents(), SETTINGS)
+    return found.select("qid", "source", "rid", F.round("retrieval_score", 6).alias("retrieval_score"), F.col("passes").cast("long").alias("passes"), F.col("rank").cast("long").alias("rank"))
 
 
 @query
-def rrf_fusion_whole(r: Records) -> DataFrame:
-    """All passes fused, at the production limits."""
-    return _rrf_fusion(r, WHOLE)
-
-
-def _retrieval_recall(r: Records, settings: retrieval.Settings) -> DataFrame:
-    found = retrieval.retrieve(r.as_queries(), r.as_documents(), settings)
+def retrieval_recall(r: Records) -> DataFrame:
+    """Recall at 20, 50 and 100."""
+    found = retrieval.retrieve(r.as_queries(), r.as_documents(), SETTINGS)
     ranked = found.withColumn("tid", F.concat(F.lit("S"), F.col("source").cast("string"), F.lit("-"), F.col("rid").cast("string")))
     return evaluate.recall_at(r.truth, ranked).select(F.col("k").cast("long").alias("k"), "true_pairs", "recovered", F.round("recall", 6).alias("recall"))
 
 
-@query
-def retrieval_recall(r: Records) -> DataFrame:
-    """Recall at 20, 50 and 100 of passes cut at the SQL's limits."""
-    return _retrieval_recall(r, SETTINGS)
-
-
-@query
-def retrieval_recall_whole(r: Records) -> DataFrame:
-    """Recall at 20, 50 and 100 of passes cut at the production limits."""
-    return _retrieval_recall(r, WHOLE)
-
-
 @query
 def alias_tokens(r: Records) -> DataFrame:
     """Words without accents linked to accented ones at the same place in names that share their first word."""
@@ -367,61 +334,49 @@ def alias_tokens(r: Records) -> DataFrame:
 # -- features ----------------------------------------------------------------
 
 
-def _pairs(r: Records, settings: retrieval.Settings = SETTINGS) -> DataFrame:
-    found = retrieval.retrieve(r.as_queries(), r.as_documents(), settings)
+def _pairs(r: Records) -> DataFrame:
+    found = retrieval.retrieve(r.as_queries(), r.as_documents(), SETTINGS)
     pairs = found.withColumn("tid", F.concat(F.lit("S"), F.col("source").cast("string"), F.lit("-"), F.col("rid").cast("string"))).drop("rid")
     return Scratch(r.spark, "pairs").table("pairs", pairs)
 
 
-def _features(r: Records, edit_based: bool = True) -> DataFrame:
+def _rounded_features(rows: DataFrame) -> DataFrame:
+    return rows.select("qid", "tid", *[F.round(F.col(c).cast("double"), 5).alias(c) for c in features.FEATURES if c in rows.columns])
+
+
+@query
+def pair_features_native(r: Records) -> DataFrame:
+    """Those features of the retrieved pairs of records that are column expressions, as doubles rounded to 5 places."""
     q = features.views(r.references, normalized=True).select("qid", "country", "v")
     t = features.views(r.targets, normalized=True).select("tid", "country", "v")
     joined = features.join_pairs(_pairs(r).select("qid", "tid", "source", "rank", "retrieval_score", "passes"), q, t)
-    return features.pair_features(joined, edit_based).drop("q_country", "t_country")
+    return _rounded_features(features.pair_features(joined, edit_based=False))
 
 
-# not registered: not yet seen to end on the test tables
-def pair_features_native(r: Records) -> DataFrame:
-    """The features of retrieved pairs that are column expressions, as doubles rounded to 5 places."""
-    rows = _features(r, edit_based=False)
-    return rows.select("qid", "tid", "source", *[F.round(F.col(c).cast("double"), 5).alias(c) for c in features.FEATURES if c in rows.columns])
+def _part_features(r: Records) -> DataFrame:
+    """All 45 features of pairs of parts: their fields are short, so that edit distances are of whole fields."""
+    views = features.views(r.part_records).select("key", "country", "v")
+    joined = features.join_pairs(r.part_pairs, views.withColumnRenamed("key", "qid"), views.withColumnRenamed("key", "tid"))
+    return Scratch(r.spark, "features").table("features", features.pair_features(joined).drop("q_country", "t_country"))
 
 
-# not registered: not yet seen to end on the test tables
+@query
 def pair_features_all(r: Records) -> DataFrame:
-    """All 45 features of retrieved pairs."""
-    return _features(r)
-
-
-def _name_jaro_winkler(r: Records, settings: retrieval.Settings) -> DataFrame:
-    met = _pairs(r, settings).select("qid", "tid").join(r.references.select("qid", F.col("name").alias("q_name")), "qid").join(r.targets.select("tid", F.col("name").alias("t_name")), "tid")
-    return met.select("qid", "tid", F.round(S.jaro_winkler_bytes("q_name", "t_name"), 6).alias("similarity"))
+    """All 45 features of pairs of parts, as doubles rounded to 5 places."""
+    return _rounded_features(_part_features(r))
 
 
 @query
-def name_jaro_winkler(r: Records) -> DataFrame:
-    """Jaro-Winkler similarity, by bytes, of the names of pairs retrieved at the SQL's limits."""
-    return _name_jaro_winkler(r, SETTINGS)
+def rule_scores(r: Records) -> DataFrame:
+    rows = _part_features(r)
+    return rows.select("qid", "tid", F.round(features.rule_score(rows).cast("double"), 5).alias("score"))
 
 
 @query
-def name_jaro_winkler_whole(r: Records) -> DataFrame:
-    """Jaro-Winkler similarity, by bytes, of the names of pairs retrieved at the production limits."""
-    return _name_jaro_winkler(r, WHOLE)
-
-
-def _labelled(r: Records) -> DataFrame:
-    """Retrieved pairs with all features, labels, groups and folds."""
-    true = r.truth.withColumn("label", F.lit(1))
-    groups = splits.group_split(splits.components(r.references, splits.signature_edges(_signatures(r), r.truth)))
-    rows = _features(r).join(true, ["qid", "tid"], "left").fillna(0, ["label"]).join(groups.select("qid", "group_id", "fold", "split"), "qid")
-    return Scratch(r.spark, "labelled").table("rows", rows.join(r.references.select("qid", "country"), "qid"))
-
-
-# not registered: not yet seen to end on the test tables
-def rule_scores(r: Records) -> DataFrame:
-    rows = _features(r)
-    return rows.select("qid", "tid", features.rule_score(rows).alias("score"))
+def name_jaro_winkler(r: Records) -> DataFrame:
+    """Jaro-Winkler similarity, by bytes, of the names of retrieved pairs."""
+    met = _pairs(r).select("qid", "tid").join(r.references.select("qid", F.col("name").alias("q_name")), "qid").join(r.targets.select("tid", F.col("name").alias("t_name")), "tid")
+    return met.select("qid", "tid", F.round(S.jaro_winkler_bytes("q_name", "t_name"), 6).alias("similarity"))
 
 
 # -- splits and samples ------------------------------------------------------
@@ -467,27 +422,16 @@ def hard_negatives(r: Records) -> DataFrame:
 @query
 def training_pairs(r: Records) -> DataFrame:
     pool = r.scored.withColumnRenamed("score", "retrieval_score")
-    return splits.training_pairs(pool, 3, 100_000, seed=7).select("qid", "tid", "label")
+    return splits.training_pairs(pool, 20, 12_000_000, seed=7).select("qid", "tid", "label")
 
 
 @query
 def structural_negatives(r: Records) -> DataFrame:
-    """Wrong pairs with names far apart at near addresses, among pairs whose addresses begin alike (names are compared in place of whole addresses, first
-    words in place of names, as in the SQL; ``structural_negatives_whole`` compares the records' own fields)."""
-    second = F.split_part("name", F.lit(" "), F.lit(2))
-    q = r.references.where("name <> ''").select("qid", "country", second.alias("w"), F.col("name").alias("q_address"), F.split_part("name", F.lit(" "), F.lit(1)).alias("q_name"), F.col("nt").alias("q_nt"))
-    t = r.targets.where("name <> ''").select("tid", "country", second.alias("w"), F.col("name").alias("t_address"), F.split_part("name", F.lit(" "), F.lit(1)).alias("t_name"), F.col("nt").alias("t_nt"))
-    met = q.join(t, ["country", "w"]).withColumn("label", (F.col("q_nt") == F.col("t_nt")).cast("int"))
-    return splits.structural_negatives(met, S.jaro_winkler_bytes, 0.6, 0.6).select("qid", "tid")
-
-
-@query
-def structural_negatives_whole(r: Records) -> DataFrame:
     """Wrong pairs with names far apart at near addresses, among retrieved pairs: the records' names and whole addresses, at 0.80 and 0.60."""
     q = r.references.select("qid", F.col("name").alias("q_name"), F.col("address").alias("q_address"), F.col("nt").alias("q_nt"))
     t = r.targets.select("tid", F.col("name").alias("t_name"), F.col("address").alias("t_address"), F.col("nt").alias("t_nt"))
     label = ((F.col("q_nt") == F.col("t_nt")) & (F.col("q_nt") != "")).cast("int")
-    met = _pairs(r, WHOLE).select("qid", "tid").join(q, "qid").join(t, "tid").withColumn("label", label).drop("q_nt", "t_nt")
+    met = _pairs(r).select("qid", "tid").join(q, "qid").join(t, "tid").withColumn("label", label).drop("q_nt", "t_nt")
     # names first: comparing whole addresses costs by far the most
     apart = Scratch(r.spark, "structural").table("apart", met.where("label = 0").where(S.jaro_winkler_bytes("q_name", "t_name") < 0.60))
     return splits.structural_negatives(apart, S.jaro_winkler_bytes).select("qid", "tid")
@@ -596,16 +540,16 @@ def event_histogram(r: Records) -> DataFrame:
 # -- models ------------------------------------------------------------------
 
 
-def _oof(r: Records, **params) -> tuple[DataFrame, DataFrame]:
-    rows = _labelled(r)
-    return rows, model.out_of_fold(rows, features.FEATURES, **params)
-
-
-# not registered: not yet seen to end on the test tables
+@query
 def gbt_oof_scores(r: Records) -> DataFrame:
-    """Out-of-fold scores of boosted trees (no SQL counterpart)."""
-    _, scored = _oof(r, maxIter=5, maxDepth=3)
-    return scored.select("qid", "tid", "label", "fold", "score")
+    """Out-of-fold scores of boosted trees for pairs of parts, true where the names are equal, folds by reference (no SQL counterpart)."""
+    names = r.part_records.select("key", F.lower("name").alias("name"))
+    rows = _part_features(r).join(names.toDF("qid", "qn"), "qid").join(names.toDF("tid", "tn"), "tid")
+    rows = rows.withColumn("label", (F.col("qn") == F.col("tn")).cast("int")).withColumn("fold", X.hash_bucket(F.col("qid"), buckets=3, seed=1))
+    rows = Scratch(r.spark, "labelled").table("rows", rows.select("qid", "tid", "label", "fold", *features.FEATURES))
+    # without the features that say outright whether names are equal
+    told = [f for f in features.FEATURES if not f.startswith("name_")]
+    return model.out_of_fold(rows, told, maxIter=5, maxDepth=3).select("qid", "tid", "label", "fold", "score")
 
 
 @query
@@ -639,7 +583,7 @@ def retrieval_misses(r: Records) -> DataFrame:
     return r.truth.join(pairs, ["qid", "tid"], "left_anti").join(pairs.select("qid").distinct(), "qid", "left_semi")
 
 
-# not registered: not yet seen to end on the test tables
+@query
 def country_transfer(r: Records) -> DataFrame:
     """Thresholds chosen on one country's pairs, measured on another's."""
     out = []

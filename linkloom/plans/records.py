@@ -9,7 +9,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import cached_property
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from linkloom.functions import similarity as S
@@ -80,6 +80,23 @@ class Records:
         lines = lines.agg(F.max(F.round(F.col("l_discount") * 10, 6)).alias("score"))
         return lines.withColumn("source", (F.col("tid") % 2 + 2).cast("int"))
 
+    @cached_property
+    def part_records(self) -> DataFrame:
+        """key, name, address, country, block: records of short whole fields. The address is brand, type, a thousand sizes and a street word."""
+        address = F.concat_ws(" ", "p_brand", "p_type", (F.col("p_size") * 1000).cast("string"), F.lit("Rd"))
+        country = F.when(F.col("p_partkey") % 5 == 0, "").otherwise(F.col("p_type"))
+        block = F.concat_ws(":", "p_type", "p_brand", (F.col("p_size") % 10).cast("string"))
+        return self.table("part").select(F.col("p_partkey").alias("key"), F.col("p_name").alias("name"), address.alias("address"), country.alias("country"), block.alias("block"))
+
+    @cached_property
+    def part_pairs(self) -> DataFrame:
+        """qid, tid, source, rank, retrieval_score, passes: parts of one brand, type and last digit of the size, as candidates of every third part."""
+        rows = self.part_records.select("key", "block")
+        q, t = rows.where("key % 3 = 0").withColumnRenamed("key", "qid"), rows.where("key % 3 <> 0").withColumnRenamed("key", "tid")
+        rank = F.row_number().over(Window.partitionBy("qid").orderBy("tid"))
+        met = q.join(t, "block").withColumn("rank", rank).withColumn("source", (F.col("tid") % 2 + 2).cast("int"))
+        return met.select("qid", "tid", "source", "rank", (1 / (F.col("rank") + 10)).alias("retrieval_score"), ((F.col("qid") + F.col("tid")) % 64).cast("int").alias("passes"))
+
     def as_documents(self) -> DataFrame:
         """Targets as retrieval sees them: names without suffixes, spelt-out addresses, both unaccented."""
         return self.targets.select("source", "country", "rid", X.fold(X.core_name(F.col("name"))).alias("n"), X.fold(X.expand_address(F.col("address"))).alias("a"))

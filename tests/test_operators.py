@@ -147,3 +147,41 @@ def test_model(spark, tmp_path):
     assert model.score(data, model.load(spark, f"{tmp_path}/m", ["x"]), ["x"]).count() == 300
     with pytest.raises(ValueError):
         model.load(spark, f"{tmp_path}/m", ["y"])
+
+
+def test_hash_sample_is_the_head_of_the_order(spark):
+    df = spark.range(3000).withColumn("k", F.col("id") % 7)
+    for n in (0, 1, 17, 2999, 3000, 5000):
+        want = rows(df.orderBy(*splits._order(["id", "k"], 3)).limit(n))
+        assert rows(splits.hash_sample(df, n, ["id", "k"], 3)) == want
+
+
+def test_postings_over_the_limit_start_no_pass(spark):
+    """Words of more records than the limit are asked for in no pass that needs any of its words."""
+    records = spark.createDataFrame([(2, "en", i, f"n{i}", "common word") for i in range(60)], "source int, country string, rid long, n string, a string")
+    queries = spark.createDataFrame([(1, "en", "x", "common y")], "qid long, country string, n string, a string")
+    found = lambda limit: retrieval.retrieve(queries, records, retrieval.Settings(k=100, posting_limit=limit, include_grams=False)).count()
+    assert (found(50), found(60)) == (0, 60)
+
+
+def test_a_cluster_must_name_its_shared_folder():
+    from types import SimpleNamespace
+
+    from linkloom.session import shared_dir
+
+    far = SimpleNamespace(conf=SimpleNamespace(get=lambda *a: None), sparkContext=SimpleNamespace(applicationId="none", master="yarn"))
+    with pytest.raises(RuntimeError):
+        shared_dir(far)
+
+
+def test_scratch_tables_go_with_their_scope(spark):
+    import os
+
+    from linkloom.session import Scratch, temporary
+
+    with temporary():
+        inner = Scratch(spark, "scope")
+        assert inner.table("t", spark.range(5)).count() == 5
+        folder = inner.root.removeprefix("file://")
+        assert os.path.isdir(folder)
+    assert not os.path.exists(folder)

@@ -9,7 +9,7 @@ import pytest
 import __spark_entry__ as entry
 
 SF = "/root/testdata/sf0.001"
-FAST = ["exact_baseline", "tsv_round_trip", "audit_truth", "validate_output", "f05_per_entity", "conflict_margin", "country_guard_owner", "threshold_sweep", "rrf_fusion", "components", "hybrid_merge", "cardinality_bins"]
+FAST = ["exact_baseline", "tsv_round_trip", "audit_truth", "validate_output", "f05_per_entity", "conflict_margin", "country_guard_owner", "threshold_sweep", "rrf_fusion", "components", "hybrid_merge", "cardinality_bins", "pair_features_all", "rule_scores", "training_pairs", "structural_negatives"]
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="the test tables are not here")
 

@@ -14,7 +14,7 @@ def write(spark, folder, rows):
 def test_words_of_more_than_50_records_are_met(spark, tmp_path):
     rows = [(0, "en", "qa qb qc qd qe qf zzzz"), *[(3 * i + 1, "en", " ".join(f"n{i}x{j}" for j in range(6)) + f" zzzz u{i}") for i in range(60)]]
     folder = write(spark, tmp_path, rows)
-    hits = entry.queries()["pass_hits_whole"](spark, folder).where("pass_id = 'a_any'").collect()
+    hits = entry.queries()["pass_hits"](spark, folder).where("pass_id = 'a_any'").collect()
     assert sorted(h.rid for h in hits) == [3 * i + 1 for i in range(60)] and sorted(h["rank"] for h in hits) == list(range(1, 61))
 
 
@@ -29,8 +29,8 @@ def test_structural_negatives_compare_whole_addresses(spark, tmp_path):
         rows += [(9 * i, name, address), (9 * i + 1, other, near), (9 * i + 2, name, [word("mnopqr") for _ in range(12)]), (9 * i + 4, name, address)]
     folder = write(spark, tmp_path, [(d, "en", " ".join(n + a)) for d, n, a in rows])
     jw = lambda x, y: jaro_winkler_of(" ".join(x).encode(), " ".join(y).encode())
-    pool = {(r.qid, r.tid) for r in entry.queries()["name_jaro_winkler_whole"](spark, folder).collect()}
+    pool = {(r.qid, r.tid) for r in entry.queries()["name_jaro_winkler"](spark, folder).collect()}
     near = {(q, f"S{t % 3 + 1}-{t}") for q, n, a in rows if q % 3 == 0 for t, m, b in rows if t % 3 and (n, a) != (m, b) and jw(a, b) >= 0.80 and jw(n, m) < 0.60}
     want = near & pool
     assert want >= {(9 * i, f"S2-{9 * i + 1}") for i in range(6)}
-    assert {tuple(r) for r in entry.queries()["structural_negatives_whole"](spark, folder).collect()} == want
+    assert {tuple(r) for r in entry.queries()["structural_negatives"](spark, folder).collect()} == want
