@@ -10,6 +10,11 @@ windows and compares those that look equal word for word, so counts are exact.
 A super-k-mer that a task meets again in the same flush is not sent: its windows
 certainly start earlier elsewhere, and only their places travel on. A group of
 thousands of copies thus reaches a bucket once from each flush.
+
+A run of ``m`` words that stands in a large share of all texts, each time among other words,
+would fill the one bucket of its hash. Such runs are found beforehand in a sample of the texts and
+come last in the order of minimisers: a window takes one only if it holds nothing else, so their
+windows are dealt by their rarer words. The sample decides where windows meet, never which are removed.
 """
 
 from __future__ import annotations
@@ -22,21 +27,65 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from linkloom.llm.words import WordHashes, deal_rows, mix, runs, slices, tidied, windows
-from linkloom.session import Scratch, partitions_for
+from linkloom.session import Scratch, column_bytes, partitions_for
 
 _LAST = (1 << 63) - 1
 _FLUSH = 6 << 20
+_SAMPLE, _SHARE, _BUCKET_BYTES = 8 << 20, 1e-5, 3 << 20
 
 
-def super_kmers(hashes: np.ndarray, k: int, m: int) -> tuple[np.ndarray, np.ndarray]:
-    """Window starts at which a new minimiser begins (and the end), and each run's minimiser."""
+def super_kmers(hashes: np.ndarray, k: int, m: int, common: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Window starts at which a new minimiser begins (and the end), and each run's minimiser. common: runs of words that come last, sorted."""
     grams = windows(hashes, m)
-    first = np.lib.stride_tricks.sliding_window_view(grams, k - m + 1).argmin(axis=1)
+    order = grams >> np.uint64(1)
+    if len(common):
+        order[common[np.minimum(np.searchsorted(common, grams), len(common) - 1)] == grams] |= np.uint64(1 << 63)
+    first = np.lib.stride_tricks.sliding_window_view(order, k - m + 1).argmin(axis=1)
     first += np.arange(len(first))
     cut = runs(first)
     return cut, grams[first[cut[:-1]]]
 
 
+def _grams(k: int, m: int):
+    """(text) -> partial counts of the runs of ``m`` words in texts that have windows, each text's different ones."""
+
+    def counted(grams: list[np.ndarray]) -> pa.RecordBatch:
+        keys, n = np.unique(np.concatenate(grams), return_counts=True)
+        return pa.record_batch([pa.array(keys.view(np.int64)), pa.array(n.astype(np.int64))], ["gram", "n"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes, grams, held = WordHashes(), [], 0
+        for batch in slices(batches, "text"):
+            for text in batch.column("text").to_pylist():
+                words = (text or "").encode().split()
+                if len(words) >= k:
+                    grams.append(np.unique(windows(hashes.of(words), m)))
+                    held += len(grams[-1])
+                if held > 1_000_000:
+                    yield counted(grams)
+                    grams, held = [], 0
+        if grams:
+            yield counted(grams)
+
+    return run
+
+
+def common_grams(docs: DataFrame, text_col: str, k: int, m: int, parts: int, scratch: Scratch, share: float = _SHARE) -> np.ndarray:
+    """Runs of ``m`` words that make up more than an eighth of a bucket's, in a sample of different texts, sorted.
+
+    The sample is 8 MB of text or a thousandth of all, if that is more. At most 1 / share runs can have that share, so many reach the
+    driver at most.
+    """
+    size = column_bytes(docs, text_col)
+    kept = min(1.0, max(_SAMPLE, size / 1000) / size) if size else 0.0
+    # chosen by a hash of the text: copies of a text, which do not fill buckets, are in or out together
+    sampled = docs.select(F.col(text_col).alias("text")).where(F.pmod(F.xxhash64("text", F.lit("sample")), F.lit(1 << 20)) < int(kept * (1 << 20))).dropDuplicates()
+    counts = scratch.table("grams", sampled.mapInArrow(tidied(_grams(k, m)), "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")))
+    found = counts.agg(F.sum("n")).first()[0] or 0
+    hot = counts.where(F.col("n") > max(20, found * max(share, 1 / (8 * parts)))).select("gram").collect()
+    return np.sort(np.array([r["gram"] for r in hot], np.int64).view(np.uint64))
+
+
 class _Flush:
     def __init__(self):
         self.ids, self.tags, self.starts, self.counts, self.keys = [], [], [], [], []
@@ -80,7 +129,7 @@ _PACKETS = {"bucket": pa.int32(), "size": pa.int64()} | dict.fromkeys(("blob", "
 _PACKETS_SQL = "bucket int, size long, blob binary, ids binary, tags binary, starts binary, m_ids binary, m_tags binary, m_starts binary, m_counts binary"
 
 
-def _packets(k: int, m: int, buckets: int):
+def _packets(k: int, m: int, buckets: int, common: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, flush = WordHashes(), _Flush()
         for batch in slices(batches, "text"):
@@ -88,7 +137,7 @@ def _packets(k: int, m: int, buckets: int):
                 words = (text or "").encode().split()
                 if len(words) < k:
                     continue
-                cut, keys = super_kmers(hashes.of(words), k, m)
+                cut, keys = super_kmers(hashes.of(words), k, m, common)
                 cut = cut.tolist()
                 for a, b, key in zip(cut[:-1], cut[1:], keys.tolist(), strict=True):
                     flush.add(doc, tag, a, b - a, key, b" ".join(words[a : b + k - 1]))
@@ -271,12 +320,13 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     if not 1 <= m <= k:
         raise ValueError("m must be from 1 to k")
     scratch = Scratch(docs.sparkSession, "substring-dedup")
-    parts = partitions_for(docs, text_col, 3 << 20)
+    parts = partitions_for(docs, text_col, _BUCKET_BYTES)
+    common = common_grams(docs, text_col, k, m, parts, scratch)
     text_hash = F.xxhash64(text_col)
     nameless = F.lit(_LAST) - F.pmod(text_hash, F.lit(1 << 40))
     whole = F.coalesce(F.col(id_col).cast("long"), nameless)
     tag = F.shiftright(text_hash, 32).cast("int")
-    packets = docs.select(whole.alias("id"), tag.alias("tag"), F.col(text_col).alias("text")).mapInArrow(tidied(_packets(k, m, parts)), _PACKETS_SQL)
+    packets = docs.select(whole.alias("id"), tag.alias("tag"), F.col(text_col).alias("text")).mapInArrow(tidied(_packets(k, m, parts, common)), _PACKETS_SQL)
     marks = packets.repartitionById(parts, "bucket").mapInArrow(tidied(_marks(k, parts)), _MARKS_SQL)
     marks = scratch.table("marks", marks.repartitionById(parts, "owner").mapInArrow(_by_row, "id long, tag int, starts binary, counts binary"))
     del packets

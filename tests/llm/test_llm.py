@@ -194,6 +194,25 @@ def test_substring_dedup(spark, seed):
     assert {r.doc_id: (r.n_words, r.n_removed, r.kept) for r in got} == brute_dedup(zip(ids, texts))
 
 
+def test_common_runs_of_words_share_no_bucket(spark):
+    """A line that stands in every text, each time among other words: its windows are dealt by those, and the result is the same."""
+    rng = random.Random(9)
+    line = [f"line{i}" for i in range(9)]
+    rows = [(i, [f"w{rng.randrange(10**6)}" for _ in range(30)] + line + [f"w{rng.randrange(10**6)}" for _ in range(30)]) for i in range(300)] + [(900, line * 4), (901, line * 4)]
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "doc_id long, text string").repartition(3)
+    from linkloom.session import Scratch
+
+    common = substring_dedup.common_grams(df, "text", 20, 4, 1000, Scratch(spark, "test"))
+    assert 0 < len(common) <= 6
+    keys = Counter()
+    hashes = substring_dedup.WordHashes()
+    for _, w in rows[:300]:
+        keys.update(set(substring_dedup.super_kmers(hashes.of([x.encode() for x in w]), 20, 4, common)[1].tolist()))
+    assert keys.most_common(1)[0][1] <= 20
+    got = {r.doc_id: (r.n_words, r.n_removed, r.kept) for r in substring_dedup.substring_dedup(df).collect()}
+    assert got == brute_dedup([(i, " ".join(w)) for i, w in rows])
+
+
 def test_substring_dedup_edges(spark):
     long = " ".join(["the same words again and again"] * 30)
     rows = [(1, long), (1, long), (None, long), (None, None)]
