@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import gc
 import math
 import tempfile
 import uuid
@@ -57,6 +58,12 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def free_shuffles(spark: SparkSession) -> None:
+    """Let go of the shuffle files of frames that nothing refers to any more: Spark's cleaner learns of them by a collection."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 @contextlib.contextmanager
 def temporary():
     """Drop at the end all scratch tables made inside: for steps whose results are written, or collected, before it."""
@@ -68,6 +75,8 @@ def temporary():
         _scopes.pop()
         for scratch in made:
             scratch.close()
+        if spark := SparkSession.getActiveSession():
+            free_shuffles(spark)
 
 
 class Scratch:
