@@ -27,11 +27,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from linkloom.llm.words import WordHashes, deal_rows, mix, runs, slices, tidied, windows
-from linkloom.session import Scratch, column_bytes, partitions_for
+from linkloom.session import Scratch, column_bytes, free_shuffles, partitions_for
 
 _LAST = (1 << 63) - 1
 _FLUSH = 6 << 20
-_SAMPLE, _SHARE, _BUCKET_BYTES = 8 << 20, 1e-5, 3 << 20
+_SAMPLE, _SHARE, _BUCKET_BYTES = 8 << 20, 1e-5, 8 << 20
 
 
 def super_kmers(hashes: np.ndarray, k: int, m: int, common: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -330,6 +330,7 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     marks = packets.repartitionById(parts, "bucket").mapInArrow(tidied(_marks(k, parts)), _MARKS_SQL)
     marks = scratch.table("marks", marks.repartitionById(parts, "owner").mapInArrow(_by_row, "id long, tag int, starts binary, counts binary"))
     del packets
+    free_shuffles(docs.sparkSession)
     rest = [c for c in docs.columns if c not in ("kept", "n_words", "n_removed")]
     full = docs.select(*rest, F.col(text_col).alias("__text"), whole.alias("__id"), tag.alias("__tag"))
     full = full.join(marks.toDF("__id", "__tag", "__starts", "__counts"), ["__id", "__tag"], "left").drop("__id", "__tag")
