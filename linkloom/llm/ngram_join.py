@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 
 from linkloom.llm.words import WordHashes, deal_rows, mix, runs, slices, tidied, windows
 from linkloom.operators.graph import connected_components
-from linkloom.session import Scratch, partitions_for
+from linkloom.session import Scratch, free_shuffles, partitions_for
 
 _LOW = np.uint64((1 << 48) - 1)
 _FLUSH = 400_000
@@ -397,6 +397,7 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     shared = shared.where("owners >= 0").drop("facts")
     sets = scratch.table("sets", shared.repartitionById(parts, "owners").mapInArrow(tidied(_sets(num, den)), _SETS))
     del packets, shared
+    free_shuffles(spark)
 
     nodes = scratch.table("nodes", facts.where("n > 0").groupBy(F.col("name").alias("node")).agg(F.min("id").alias("lowest"), F.count("*").alias("copies")))
     # only nodes with a prefix left can have links; a component's label is its smallest node, which is never null
