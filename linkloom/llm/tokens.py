@@ -20,6 +20,7 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # tasks are parallel a
 from tokenizers import Tokenizer  # noqa: E402
 
 _MARKS = b".,;:!?*&%$#|"
+_LETTERS_APART = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 _SPACE = np.zeros(128, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 
@@ -58,6 +59,9 @@ class Encoder:
         self.heads = sorted({t["content"][:2].encode() for t in added})
         if self.by_words:
             self.between, self.between_id = added[0]["content"], added[0]["id"]
+        pre = spec.get("pre_tokenizer") or {}
+        # this rule takes all letters there are, and all that follows them but letters, digits and white space: marks after an ASCII letter are a piece
+        self.parts_marks = (pre.get("pretokenizers") or [pre])[0].get("pattern") == {"Regex": _LETTERS_APART}
         self.limit = limit
         self.marks: dict[str, list[str]] = {}
         self.ids: dict[bytes, bytes] = {}
@@ -93,7 +97,8 @@ class Encoder:
         plain, parted = [], []
         for w in new:
             core = w.rstrip(_MARKS)
-            if core and len(core) < len(w) and self._parts(w.decode(), core.decode()):
+            ends = core[-1:].isalpha()
+            if core and len(core) < len(w) and (self.parts_marks and ends or (ends or core[-8:].decode(errors="ignore")[-1:].isalpha()) and self._parts(w.decode(), core.decode())):
                 parted.append((w, core, w[len(core) :]))
             else:
                 plain.append(w)

@@ -406,7 +406,7 @@ def test_packing(spark):
     assert packing.pack(table(spark, ["x"]).limit(0), tokenizer_path()).count() == 0
 
 
-HARD = ["don't a,b'll 12 x<|endoftext|>y <|STARTOFTEXT|>", "é ́x Ä\x1cb c İ ﬁ Ω,", "a.b. ,; !? word, word. Word", "", None, "日本語。テスト 日本", "<| <|end"]
+HARD = ["don't a,b'll 12 x<|endoftext|>y <|STARTOFTEXT|>", "é ́x Ä\x1cb c İ ﬁ Ω,", "a.b. ,; !? word, word. Word", "", None, "日本語。テスト 日本", "<| <|end", "İ, é, ß! Ω?? e\u0301. \u0130%", "a1, 1a, 'S. it's. S'! x\xa0y,"]
 
 
 def test_encoding_by_words_equals_whole_texts():
