@@ -2,6 +2,8 @@
 
 from collections import Counter
 
+import random
+
 import pytest
 
 pytest.importorskip("corpus_pipeline")
@@ -46,3 +48,44 @@ def test_stages(spark, folder):
 
 def test_run(spark, folder):
     assert corpus_pipeline.run(spark, folder).count() > 0
+
+
+ODD = "doc_id long, text string, lang string, source string, n_chars long, score string, kept string, size int"
+
+
+def odd_rows():
+    rng = random.Random(12)
+    said = [" ".join(f"w{rng.randrange(5000)}" for _ in range(60)) for _ in range(4)]
+    near = said[0].split()
+    near[30] = "changed"
+    rows = [(1, said[0]), (1, said[0]), (1, said[1]), (None, " ".join(near)), (None, said[2]), (None, said[2]), (5, None), (5, None), (6, ""), (7, " \n"), (8, said[3] + " " + " ".join(f"x{i}" for i in range(4000)))]
+    return [(i, t, "en", "s" if t else None, len(t or ""), "clash", "clash", 1) for i, t in rows]
+
+
+def test_stages_with_odd_rows(spark, tmp_path):
+    """Null ids, shared ids, repeated rows, null, blank and very long texts, columns named like results."""
+    docs = spark.createDataFrame(odd_rows(), ODD).repartition(3)
+    spark.createDataFrame([(100, 0)], "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    stages = dict(corpus_pipeline.STAGES)
+    rows = lambda df: sorted(map(str, map(tuple, df.collect())))
+
+    scored = stages["toxicity"](spark, docs, str(tmp_path))
+    assert scored.columns == docs.columns and set(rows(scored)) <= set(rows(docs))
+
+    one = stages["ngram_jaccard_join"](spark, docs, str(tmp_path))
+    all_rows = odd_rows()
+    # the near copy without an id goes for the row with one; equal rows become one; blank texts all stay
+    want = [all_rows[i] for i in (0, 2, 4, 6, 7, 8, 9, 10)]
+    assert one.columns == docs.columns and rows(one) == sorted(map(str, want))
+
+    cut = stages["substring_dedup"](spark, docs, str(tmp_path))
+    assert cut.columns == docs.columns and all(r.text and r.n_chars == len(r.text) for r in cut.collect())
+
+    mixed = stages["source_mixing"](spark, docs, str(tmp_path))
+    n = sum(len((r[1] or "").split()) for r in all_rows)
+    assert mixed.columns == docs.columns and sum(len(r.text.split()) for r in mixed.collect()) == pytest.approx(1.5 * n, abs=1)
+
+    packed = stages["best_fit_packing"](spark, docs, str(tmp_path))
+    assert len({r.doc_id for r in packed.collect()}) == len({r[0] for r in all_rows})
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs.limit(0), str(tmp_path)).count() == 0, name
