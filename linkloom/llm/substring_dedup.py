@@ -31,7 +31,7 @@ from linkloom.session import Scratch, column_bytes, free_shuffles, partitions_fo
 
 _LAST = (1 << 63) - 1
 _FLUSH = 6 << 20
-_SAMPLE, _SHARE, _BUCKET_BYTES = 8 << 20, 1e-5, 8 << 20
+_SAMPLE, _SHARE, _BUCKET_BYTES = 8 << 20, 1e-5, 3 << 20
 
 
 def super_kmers(hashes: np.ndarray, k: int, m: int, common: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -141,7 +141,7 @@ def _packets(k: int, m: int, buckets: int, common: np.ndarray):
                 cut = cut.tolist()
                 for a, b, key in zip(cut[:-1], cut[1:], keys.tolist(), strict=True):
                     flush.add(doc, tag, a, b - a, key, b" ".join(words[a : b + k - 1]))
-                if flush.sent > _FLUSH:
+                if flush.sent > _FLUSH or len(flush.ids) > 100_000:
                     yield flush.rows(buckets)
                     flush = _Flush()
         if flush.ids:
