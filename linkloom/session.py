@@ -58,6 +58,23 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextlib.contextmanager
+def shuffles_freed(spark: SparkSession):
+    """Spark removes the shuffle files of each query that is executed inside when it ends, in place of at some later collection.
+
+    For writes: a frame that is executed again afterwards is planned anew, or makes the missing files again.
+    """
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(_CLEANUP, before)
+
+
 def free_shuffles(spark: SparkSession) -> None:
     """Let go of the shuffle files of frames that nothing refers to any more: Spark's cleaner learns of them by a collection."""
     gc.collect()
@@ -83,7 +100,7 @@ class Scratch:
     """Parquet tables in the shared folder, dropped together by ``close``.
 
     A written table outlives any executor, so a stage that reads one never
-    recomputes what came before it.
+    recomputes what came before it, and the shuffles that made it go with the write.
     """
 
     def __init__(self, spark: SparkSession, name: str):
@@ -95,7 +112,8 @@ class Scratch:
 
     def table(self, name: str, df: DataFrame) -> DataFrame:
         path = f"{self.root}/{name}-{uuid.uuid4().hex[:8]}"
-        df.write.parquet(path)
+        with shuffles_freed(self.spark):
+            df.write.parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def close(self) -> None:

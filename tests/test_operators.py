@@ -185,3 +185,23 @@ def test_scratch_tables_go_with_their_scope(spark):
         folder = inner.root.removeprefix("file://")
         assert os.path.isdir(folder)
     assert not os.path.exists(folder)
+
+
+def test_shuffle_files_go_with_the_write(spark):
+    import time
+
+    from linkloom.session import Scratch
+
+    def shuffles():
+        files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString("|").split("|")
+        return {name.split("_")[1] for f in files if (name := f.rpartition("/")[2]).startswith("shuffle_")}
+
+    scratch, before = Scratch(spark, "freed"), shuffles()
+    scratch.table("t", spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count().repartition(3, "count"))
+    for _ in range(50):
+        if not (left := shuffles() - before):
+            break
+        time.sleep(0.1)
+    scratch.close()
+    assert not left
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
