@@ -393,7 +393,7 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     # texts are read once: facts of rows travel with the packets
     packets = texts.mapInArrow(tidied(_packets(k, parts)), _PACKETS)
     shared = scratch.table("shared", packets.repartitionById(parts, "bucket").mapInArrow(tidied(_shared(parts, parts)), _SHARED))
-    facts = scratch.table("facts", shared.where("owners < 0").select("facts").mapInArrow(_unpacked_facts, "id long, hash long, n long, name long"))
+    facts = scratch.table("facts", shared.where("owners < 0").select("facts").mapInArrow(tidied(_unpacked_facts), "id long, hash long, n long, name long"))
     shared = shared.where("owners >= 0").drop("facts")
     sets = scratch.table("sets", shared.repartitionById(parts, "owners").mapInArrow(tidied(_sets(num, den)), _SETS))
 
@@ -424,7 +424,7 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         known = pairs if known is None else known.unionByName(pairs)
         side = sets.select("node", F.col("n").alias("size"), "shared")
         full = pairs.join(side.toDF("a", "na", "xa"), "a").join(side.toDF("b", "nb", "xb"), "b").select("a", "b", "na", "nb", "xa", "xb")
-        proven = scratch.table("links", full.mapInArrow(_verify(num, den), "a long, b long, same int").where("same >= 0"))
+        proven = scratch.table("links", full.mapInArrow(tidied(_verify(num, den)), "a long, b long, same int").where("same >= 0"))
         posts = posts.drop("label")
         if proven.isEmpty():
             continue

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from linkloom.llm.tokens import encoder
+from linkloom.llm.tokens import encoding
 from linkloom.llm.words import slices, tidied
 from linkloom.session import Scratch
 
@@ -152,19 +152,19 @@ _RANKED_TOGETHER = 20_000
 
 def _pieces(path: str, end_id: int | None, capacity: int, keep_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(path).encode
-        end = b"" if end_id is None else np.array([end_id], "<u4").tobytes()
-        for batch in slices(batches, "text", 1 << 20):
-            out = []
-            for key, row, data in zip(batch.column("id").to_pylist(), batch.column("row").to_pylist(), encode(batch.column("text").to_pylist()), strict=True):
-                data += end
-                for i, a in enumerate(range(0, len(data), 4 * capacity)):
-                    part = data[a : a + 4 * capacity]
-                    out.append((key, row, i, a // 4, len(part) // 4, zlib.crc32(part), *([part] if keep_ids else [])))
-            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), *([pa.binary()] if keep_ids else [])]
-            names = ["id", "row", "piece", "start", "length", "ids_crc32", *(["ids"] if keep_ids else [])]
-            if out:
-                yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names)
+        with encoding(path) as held:
+            end = b"" if end_id is None else np.array([end_id], "<u4").tobytes()
+            for batch in slices(batches, "text", 1 << 20):
+                out = []
+                for key, row, data in zip(batch.column("id").to_pylist(), batch.column("row").to_pylist(), held.encode(batch.column("text").to_pylist()), strict=True):
+                    data += end
+                    for i, a in enumerate(range(0, len(data), 4 * capacity)):
+                        part = data[a : a + 4 * capacity]
+                        out.append((key, row, i, a // 4, len(part) // 4, zlib.crc32(part), *([part] if keep_ids else [])))
+                kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), *([pa.binary()] if keep_ids else [])]
+                names = ["id", "row", "piece", "start", "length", "ids_crc32", *(["ids"] if keep_ids else [])]
+                if out:
+                    yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names)
 
     return run
 

@@ -328,7 +328,7 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     tag = F.shiftright(text_hash, 32).cast("int")
     packets = docs.select(whole.alias("id"), tag.alias("tag"), F.col(text_col).alias("text")).mapInArrow(tidied(_packets(k, m, parts, common)), _PACKETS_SQL)
     marks = packets.repartitionById(parts, "bucket").mapInArrow(tidied(_marks(k, parts)), _MARKS_SQL)
-    marks = scratch.table("marks", marks.repartitionById(parts, "owner").mapInArrow(_by_row, "id long, tag int, starts binary, counts binary"))
+    marks = scratch.table("marks", marks.repartitionById(parts, "owner").mapInArrow(tidied(_by_row), "id long, tag int, starts binary, counts binary"))
     rest = [c for c in docs.columns if c not in ("kept", "n_words", "n_removed")]
     full = docs.select(*rest, F.col(text_col).alias("__text"), whole.alias("__id"), tag.alias("__tag"))
     full = full.join(marks.toDF("__id", "__tag", "__starts", "__counts"), ["__id", "__tag"], "left").drop("__id", "__tag")

@@ -16,8 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from linkloom.llm.tokens import encoder
-from linkloom.llm.words import slices
+from linkloom.llm.tokens import encoding
+from linkloom.llm.words import slices, tidied
 
 
 def attribute(places: np.ndarray, bounds: np.ndarray, rule: str) -> tuple[np.ndarray, np.ndarray]:
@@ -52,18 +52,18 @@ _OUT = "id long, section int, start long, n_chars long, n_tokens long, n_crossin
 
 def _count(path: str, rule: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(path).encode_with_places
-        for batch in slices(batches, "text", 1 << 20):
-            parts: list[list] = [[] for _ in range(6)]
-            texts = batch.column("text").to_pylist()
-            for key, text, starts, (_, places) in zip(batch.column("id").to_pylist(), texts, batch.column("starts").to_pylist(), encode(texts), strict=True):
-                n = len(text or "")
-                at = np.array(starts if starts is not None else quarters(n), np.int64)
-                section, crosses = attribute(places, at, rule)
-                for to, x in zip(parts, ([key] * len(at), range(len(at)), at, np.diff(np.r_[at, n]), np.bincount(section, minlength=len(at)), np.bincount(section[crosses], minlength=len(at))), strict=True):
-                    to.extend(x)
-            kinds = (pa.int64(), pa.int32(), *[pa.int64()] * 4)
-            yield pa.record_batch([pa.array(c, t) for c, t in zip(parts, kinds, strict=True)], ["id", "section", "start", "n_chars", "n_tokens", "n_crossing"])
+        with encoding(path) as held:
+            for batch in slices(batches, "text", 1 << 20):
+                parts: list[list] = [[] for _ in range(6)]
+                texts = batch.column("text").to_pylist()
+                for key, text, starts, (_, places) in zip(batch.column("id").to_pylist(), texts, batch.column("starts").to_pylist(), held.encode_with_places(texts), strict=True):
+                    n = len(text or "")
+                    at = np.array(starts if starts is not None else quarters(n), np.int64)
+                    section, crosses = attribute(places, at, rule)
+                    for to, x in zip(parts, ([key] * len(at), range(len(at)), at, np.diff(np.r_[at, n]), np.bincount(section, minlength=len(at)), np.bincount(section[crosses], minlength=len(at))), strict=True):
+                        to.extend(x)
+                kinds = (pa.int64(), pa.int32(), *[pa.int64()] * 4)
+                yield pa.record_batch([pa.array(c, t) for c, t in zip(parts, kinds, strict=True)], ["id", "section", "start", "n_chars", "n_tokens", "n_crossing"])
 
     return run
 
@@ -80,4 +80,4 @@ def token_counts(docs: DataFrame, tokenizer: str, rule: str = "start", id_col: s
         raise ValueError(f"no such rule: {rule}")
     starts = F.col(starts_col).cast("array<long>") if starts_col else F.lit(None).cast("array<long>")
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), starts.alias("starts"))
-    return rows.mapInArrow(_count(tokenizer, rule), _OUT).withColumnRenamed("id", id_col)
+    return rows.mapInArrow(tidied(_count(tokenizer, rule)), _OUT).withColumnRenamed("id", id_col)

@@ -9,6 +9,7 @@ punctuation after them are remembered apart only where the tokenizer's own rules
 
 from __future__ import annotations
 
+import contextlib
 import json
 import os
 from array import array
@@ -67,6 +68,10 @@ class Encoder:
         self.ids: dict[bytes, bytes] = {}
         self.places: dict[bytes, bytes] = {}
 
+    def forget(self) -> None:
+        """Empty the memory of words."""
+        self.ids, self.places, self.marks = {}, {}, {}
+
     def _split(self, text: str | None) -> list[bytes] | None:
         """The words, or None if the text may hold special strings and must be encoded as it is."""
         data = (text or "").encode()
@@ -179,7 +184,17 @@ _encoders: dict[str, Encoder] = {}
 
 
 def encoder(path: str) -> Encoder:
-    """The encoder of this process for a file; Python workers live on between tasks, and so does its memory."""
+    """The encoder of this process for a file; Python workers live on between tasks, and so does the loaded tokenizer."""
     if path not in _encoders:
         _encoders[path] = Encoder(path)
     return _encoders[path]
+
+
+@contextlib.contextmanager
+def encoding(path: str):
+    """The encoder for one task. Its memory of words goes at the end: an idle worker would hold it through later stages of other work."""
+    held = encoder(path)
+    try:
+        yield held
+    finally:
+        held.forget()

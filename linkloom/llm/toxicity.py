@@ -192,7 +192,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 20_000, id_col: str
     learning = texts.where(~held)
     counts = {r["toxic"]: r["n"] for r in learning.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     learned = learn_lexicon(learning, counts.get(1, 0), counts.get(0, 0))
-    rows = texts.select("text", "h", F.col("id").cast("string").alias("id"), "toxic").mapInArrow(_features(learned, ["h", "id", "toxic"]), "h long, id string, toxic int, x array<double>").toArrow()
+    rows = texts.select("text", "h", F.col("id").cast("string").alias("id"), "toxic").mapInArrow(tidied(_features(learned, ["h", "id", "toxic"])), "h long, id string, toxic int, x array<double>").toArrow()
     scratch.close()
     rows = rows.sort_by([("h", "ascending"), ("id", "ascending")])  # at most ``sample`` rows
     h, y = np.array(rows.column("h").to_pylist(), np.int64), np.array(rows.column("toxic").to_pylist(), np.float64)

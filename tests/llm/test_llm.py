@@ -728,3 +728,15 @@ def test_boosting_and_calibration():
     curve = boosting.fit_isotonic(m.margin(x[:600]), y[:600])
     grid = curve(np.linspace(-20, 20, 200))
     assert (np.diff(grid) >= 0).all() and grid.min() >= 0 and grid.max() <= 1
+
+
+def test_memory_of_words_goes_with_the_task():
+    import pyarrow as pa
+
+    batch = pa.RecordBatch.from_pydict({"id": [1], "row": [1], "text": ["some words, some more"]})
+    task = packing._pieces(tokenizer_path(), 0, 2048, False)(iter([batch]))
+    next(task)
+    held = tokens.encoder(tokenizer_path())
+    assert held.ids
+    assert list(task) == [] and not (held.ids or held.places or held.marks)
+    assert tokens.encoder(tokenizer_path()) is held
