@@ -13,6 +13,7 @@ import contextlib
 import json
 import os
 from array import array
+from itertools import filterfalse
 
 import numpy as np
 
@@ -56,13 +57,17 @@ class Encoder:
         added = [t for t in spec.get("added_tokens", []) if t["special"] and not (t["lstrip"] or t["rstrip"] or t["single_word"] or t["normalized"])]
         self.by_words = drops_space(spec) and bool(added) and len(added) == len(spec["added_tokens"])
         # no two words that differ in the case of ASCII letters only have different ids
-        self.folds = "Lowercase" in {n["type"] for n in (spec.get("normalizer") or {}).get("normalizers", [])}
+        norm = spec.get("normalizer") or {}
+        self.folds = "Lowercase" in {n["type"] for n in norm.get("normalizers", [norm]) if n}
         self.heads = sorted({t["content"][:2].encode() for t in added})
         if self.by_words:
             self.between, self.between_id = added[0]["content"], added[0]["id"]
         pre = spec.get("pre_tokenizer") or {}
+        first, *others = pre.get("pretokenizers") or [pre]
         # this rule takes all letters there are, and all that follows them but letters, digits and white space: marks after an ASCII letter are a piece
-        self.parts_marks = (pre.get("pretokenizers") or [pre])[0].get("pattern") == {"Regex": _LETTERS_APART}
+        self.parts_marks = first.get("pattern") == {"Regex": _LETTERS_APART}
+        # with it, and bytes for characters at most, a word of ASCII letters comes to the model as it is: one piece, which no normaliser has changed
+        self.letters_whole = self.by_words and self.parts_marks and all(p["type"] == "ByteLevel" and not p.get("use_regex", True) for p in others)
         self.limit = limit
         self.marks: dict[str, list[str]] = {}
         self.ids: dict[bytes, bytes] = {}
@@ -135,6 +140,13 @@ class Encoder:
         return whole[: len(head)] == head and [p for p, _ in whole[len(head) :]] == self.marks[marks]
 
     def _learn_ids(self, words: list[bytes]) -> None:
+        if self.letters_whole:
+            pieces, ids = self.tokenizer.model.tokenize, self.ids
+            for w in filter(bytes.isalpha, words):
+                ids[w] = array("I", [t.id for t in pieces(w.decode())]).tobytes()
+            words = list(filterfalse(bytes.isalpha, words))
+            if not words:
+                return
         (out,) = self.tokenizer.encode_batch_fast([self.between.join([w.decode() for w in words])], add_special_tokens=False)
         ids = np.array(out.ids, "<u4")
         cut = np.flatnonzero(ids == self.between_id)

@@ -432,11 +432,15 @@ def test_encoding_with_other_tokenizers(tmp_path):
         "whole": {"pre_tokenizer": {"type": "Sequence", "pretokenizers": [{"type": "WhitespaceSplit"}, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]}},
         "split": {"pre_tokenizer": {"type": "Sequence", "pretokenizers": [plain, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]}},
         "replace": {"normalizer": {"type": "Sequence", "normalizers": [{"type": "Replace", "pattern": {"String": " "}, "content": "_"}]}},
+        "cases": {"normalizer": {"type": "NFC"}},
+        "lower": {"normalizer": {"type": "Lowercase"}},
+        "more rules": {"pre_tokenizer": {"type": "Sequence", "pretokenizers": [*spec["pre_tokenizer"]["pretokenizers"], {"type": "Split", "pattern": {"String": "e"}, "behavior": "Isolated", "invert": False}]}},
     }.items():
         path = tmp_path / f"{name}.json"
         path.write_text(json.dumps(spec | change))
         e = tokens.Encoder(str(path))
-        for texts in (HARD, corpus(7)):
+        assert e.letters_whole == (name in ("cases", "lower")), name
+        for texts in (HARD, corpus(7), [t and t.title() for t in corpus(9)]):
             whole = [e.tokenizer.encode(t or "", add_special_tokens=False) for t in texts]
             assert [np.frombuffer(x, "<u4").tolist() for x in e.encode(texts)] == [w.ids for w in whole], name
             for w, (ids, places) in zip(whole, e.encode_with_places(texts)):
