@@ -440,7 +440,7 @@ def test_encoding_with_other_tokenizers(tmp_path):
         path.write_text(json.dumps(spec | change))
         e = tokens.Encoder(str(path))
         assert e.letters_whole == (name in ("cases", "lower")), name
-        for texts in (HARD, corpus(7), [t and t.title() for t in corpus(9)]):
+        for texts in (HARD, corpus(7), [t and t.title() for t in corpus(9)], ["\u0130stanbul \u0130 \u00c9t\u00e9 stra\u00dfe \u01c5 \u00aa\u00ba e\u0301t \u0301 a\u00a0b \u00a0 \u00e9\u0085x \u0394\u03a3 \u4e2d\u6587 \u00fc1 \u00fc's na\u00efve, \u0250x"]):
             whole = [e.tokenizer.encode(t or "", add_special_tokens=False) for t in texts]
             assert [np.frombuffer(x, "<u4").tolist() for x in e.encode(texts)] == [w.ids for w in whole], name
             for w, (ids, places) in zip(whole, e.encode_with_places(texts)):
