@@ -23,9 +23,6 @@ from tokenizers import Tokenizer  # noqa: E402
 
 _MARKS = b".,;:!?*&%$#|"
 _LETTERS_APART = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-# how a byte-level model writes a byte: as the character of that number if it can be seen, the others from 256 on
-_SEEN = {*range(33, 127), *range(161, 173), *range(174, 256)}
-_BYTE_CHARS = {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in _SEEN)}
 _SPACE = np.zeros(128, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 
@@ -69,9 +66,8 @@ class Encoder:
         first, *others = pre.get("pretokenizers") or [pre]
         # this rule takes all letters there are, and all that follows them but letters, digits and white space: marks after an ASCII letter are a piece
         self.parts_marks = first.get("pattern") == {"Regex": _LETTERS_APART}
-        # with it, and bytes for characters at most, a word of letters comes to the model as one piece; one of ASCII letters as it is
+        # with it, and bytes for characters at most, a word of ASCII letters comes to the model as it is: one piece, which no normaliser has changed
         self.letters_whole = self.by_words and self.parts_marks and all(p["type"] == "ByteLevel" and not p.get("use_regex", True) for p in others)
-        self.sees_bytes = bool(others)
         self.limit = limit
         self.marks: dict[str, list[str]] = {}
         self.ids: dict[bytes, bytes] = {}
@@ -143,28 +139,14 @@ class Encoder:
         whole, head = self._pieces(word), self._pieces(core)
         return whole[: len(head)] == head and [p for p, _ in whole[len(head) :]] == self.marks[marks]
 
-    def _one_piece(self, words: list[bytes]) -> dict[bytes, str]:
-        """Words that the model sees as one piece, and that piece."""
-        if not self.letters_whole:
-            return {}
-        found = {w: w.decode() for w in filter(bytes.isalpha, words)}
-        # letters for certain: below this no character has been assigned for many versions of Unicode, and none combines with another
-        latin = [t for t in (w.decode() for w in words if w not in found) if t.isalpha() and max(t) < "\u0250"]
-        text = " ".join(latin)
-        if self.tokenizer.normalizer is not None:
-            text = self.tokenizer.normalizer.normalize_str(text)
-        seen = text.split(" ")
-        pieces = text.encode().decode("latin-1").translate(_BYTE_CHARS).split(_BYTE_CHARS[32]) if self.sees_bytes else seen
-        found |= {t.encode(): p for t, s, p in zip(latin, seen, pieces) if s.isalpha()}
-        return found
-
     def _learn_ids(self, words: list[bytes]) -> None:
-        whole, tokenize = self._one_piece(words), self.tokenizer.model.tokenize
-        for w, piece in whole.items():
-            self.ids[w] = array("I", [t.id for t in tokenize(piece)]).tobytes()
-        words = [w for w in words if w not in whole]
-        if not words:
-            return
+        if self.letters_whole:
+            pieces, ids = self.tokenizer.model.tokenize, self.ids
+            for w in filter(bytes.isalpha, words):
+                ids[w] = array("I", [t.id for t in pieces(w.decode())]).tobytes()
+            words = list(filterfalse(bytes.isalpha, words))
+            if not words:
+                return
         (out,) = self.tokenizer.encode_batch_fast([self.between.join([w.decode() for w in words])], add_special_tokens=False)
         ids = np.array(out.ids, "<u4")
         cut = np.flatnonzero(ids == self.between_id)
