@@ -34,3 +34,30 @@ def test_structural_negatives_compare_whole_addresses(spark, tmp_path):
     want = near & pool
     assert want >= {(9 * i, f"S2-{9 * i + 1}") for i in range(6)}
     assert {tuple(r) for r in entry.queries()["structural_negatives"](spark, folder).collect()} == want
+
+
+def test_features_of_parts_write_no_row_for_each_pair(spark, tmp_path, monkeypatch):
+    from linkloom.session import Scratch
+
+    kinds = [("blue ring", "Brand#1", "LARGE", 3), (None, "Brand#1", "LARGE", 3), ("Blue  ring ltd", "Brand#1", "LARGE", 13), ("", "Brand#1", None, None), ("hot bolt", "Brand#1", "LARGE", 3)]
+    rows = [(i, *kinds[i % 5]) for i in range(150)]
+    spark.createDataFrame(rows, "p_partkey long, p_name string, p_brand string, p_type string, p_size int").write.parquet(f"{tmp_path}/part.parquet")
+    written, table = [], Scratch.table
+    monkeypatch.setattr(Scratch, "table", lambda self, name, df: (out := table(self, name, df), written.append(out.count()))[0])
+    got = {(r.qid, r.tid): r for r in entry.queries()["pair_features_all"](spark, str(tmp_path)).collect()}
+    scores = {(r.qid, r.tid): r.score for r in entry.queries()["rule_scores"](spark, str(tmp_path)).collect()}
+    block = lambda i: (rows[i][2:4], (rows[i][4] or 10) % 10)
+    assert set(got) == set(scores) == {(q, t) for q in range(0, 150, 3) for t in range(150) if t % 3 and block(q) == block(t)}
+    assert max(written) <= 150 < len(got)
+    # as each pair by itself has them
+    from pyspark.sql import functions as F
+
+    from linkloom.operators import features
+    from linkloom.plans.records import Records
+
+    r = Records(spark, str(tmp_path))
+    views = features.views(r.part_records).select("key", "country", "v")
+    met = r.part_queries.select("qid", "block").join(r.part_targets, "block").select("qid", "tid", "rank", "retrieval_score", ((F.col("qid") + F.col("tid")) % 64).cast("int").alias("passes"))
+    plain = features.pair_features(features.join_pairs(met, views.withColumnRenamed("key", "qid"), views.withColumnRenamed("key", "tid")))
+    for row in plain.select("qid", "tid", *[F.round(F.col(c).cast("double"), 5).alias(c) for c in features.FEATURES]).collect():
+        assert row == got[row.qid, row.tid]
