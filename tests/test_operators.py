@@ -205,3 +205,29 @@ def test_shuffle_files_go_with_the_write(spark):
     scratch.close()
     assert not left
     assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
+
+
+def test_overlaps_of_large_groups_are_dealt_into_cells(spark, monkeypatch):
+    import random
+
+    from linkloom.operators import overlap
+
+    monkeypatch.setattr(overlap, "ROWS", 8)
+    monkeypatch.setattr(overlap, "CHARS", 200)
+    rng = random.Random(3)
+    vocabulary = [f"w{i}" for i in range(30)] + ["é", "日本"]
+    rows = [(country, name, i, " ".join(rng.choices(vocabulary, k=rng.choice((0, 1, 5, 12))))) for i, (country, name) in enumerate([("en", "a")] * 90 + [("", "a")] * 3 + [("en", "b")] * 2 + [("fr", "c:1")])]
+    df = spark.createDataFrame(rows, "country string, name string, id long, text string")
+    got = overlap.overlaps(df.where("id % 3 = 0"), df.where("id % 3 <> 0"), ["country", "name"])
+    sets = {i: (c, n, t, set(t.split())) for c, n, i, t in rows}
+    want = {}
+    for i, (c, n, t, x) in sets.items():
+        for j, (d, m, u, y) in sets.items():
+            if i % 3 == 0 and j % 3 and (c, n) == (d, m):
+                want[i, j] = (c, len(x & y), len(x | y), t == u)
+    collected = got.collect()
+    assert len(collected) == len(want) and {(r.left, r.right): (r.country, r.shared, r.either, r.equal) for r in collected} == want
+    # the large group is not one task's work
+    from pyspark.sql import functions as F
+
+    assert got.where("country = 'en'").select(F.spark_partition_id().alias("p")).distinct().count() > 4
