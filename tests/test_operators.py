@@ -1,3 +1,5 @@
+import math
+import random
 import zipfile
 
 import pytest
@@ -252,3 +254,39 @@ def test_link_profile_of_names_weighs_distinct_names(spark, monkeypatch):
         compared = []
         got = profile.link_profile_of_names(left, t, lambda a, b: (compared.append((a, b)), jaro_winkler_bytes(a, b))[1]).first().asDict()
         assert got.keys() == want.keys() and all(got[k] == want[k] if not isinstance(want[k], float) else abs(got[k] - want[k]) < 1e-9 for k in want), (got, want)
+
+
+def test_pass_hits_of_small_cells_equal_those_of_all_pairs(spark, monkeypatch):
+    """Queries meet postings in cells of bounded size: many small ones give what looking at every document gives."""
+    rng = random.Random(5)
+    text = lambda n: " ".join(rng.choice("abcdefghij") + rng.choice("klmn") for _ in range(n))
+    docs = [(rng.choice((2, 3)), rng.choice(("en", "fr")), i, text(3), text(5)) for i in range(120)]
+    queries = [(i, rng.choice(("en", "fr")), text(3), text(5)) for i in range(40)]
+    indexed = retrieval.documents(spark.createDataFrame(docs, "source int, country string, rid long, n string, a string"))
+    stats, asked = retrieval.term_stats(indexed), spark.createDataFrame(queries, "qid long, country string, n string, a string")
+
+    def found():
+        rare = retrieval.rare_terms(retrieval.query_terms(asked, indexed), stats)
+        passes = retrieval._passes(rare, retrieval.Settings(k=4)).localCheckpoint()
+        return passes.collect(), sorted(map(tuple, retrieval.pass_hits(passes, indexed, 4).select("qid", "source", "country", "pass_id", "rank", "rid", F.round("score", 6)).collect()))
+
+    whole = found()
+    monkeypatch.setattr(retrieval, "TERMS", 200)
+    monkeypatch.setattr(retrieval, "PASSES", 30)
+    monkeypatch.setattr(retrieval, "POSTINGS", 300)
+    cells = found()
+    assert sorted(map(str, cells[0])) == sorted(map(str, whole[0])) and cells[1] == whole[1]
+    held = {(r["source"], r["country"], r["rid"]): set(r["terms"]) for r in indexed.collect()}
+    brute = []
+    for p in whole[0]:
+        own = {rid: terms for (source, country, rid), terms in held.items() if (source, country) == (p["source"], p["country"])}
+        average = sum(map(len, own.values())) / len(own)
+        scored = []
+        for rid, terms in own.items():
+            parts = [max(math.log((len(own) - t["df"] + 0.5) / (t["df"] + 0.5)), 1e-6) * 2.2 / (1 + 1.2 * (0.25 + 0.75 * len(terms) / average)) for t in p["terms"] if t["term"] in terms]
+            if parts and (p["need"] == "any" or len(parts) == len(p["terms"])):
+                scored.append((-round(sum(parts), 9), rid))
+        brute += [(p["qid"], p["source"], p["country"], p["pass_id"], i + 1, rid, round(-score, 6)) for i, (score, rid) in enumerate(sorted(scored)[:4])]
+    assert len(brute) > 500
+    assert [x[:6] for x in sorted(brute)] == [x[:6] for x in cells[1]]
+    assert all(abs(x[6] - y[6]) < 1e-5 for x, y in zip(sorted(brute), cells[1], strict=True))
