@@ -290,3 +290,15 @@ def test_pass_hits_of_small_cells_equal_those_of_all_pairs(spark, monkeypatch):
     assert len(brute) > 500
     assert [x[:6] for x in sorted(brute)] == [x[:6] for x in cells[1]]
     assert all(abs(x[6] - y[6]) < 1e-5 for x, y in zip(sorted(brute), cells[1], strict=True))
+
+
+def test_overlaps_leave_pairs_under_the_least_share_out_where_they_are_counted(spark):
+    from linkloom.operators import overlap
+
+    rng = random.Random(4)
+    data = [("en", "a" if i % 4 else "b", i, " ".join(rng.choices("abcdef", k=rng.choice((0, 2, 3))))) for i in range(80)]
+    df = spark.createDataFrame(data, "country string, name string, id long, text string")
+    sides = df.where("id % 3 = 0"), df.where("id % 3 <> 0")
+    whole = overlap.overlaps(*sides, ["country", "name"])
+    assert 0 < whole.where("shared < 0.5 * either").count()
+    assert rows(overlap.overlaps(*sides, ["country", "name"], least=0.5)) == rows(whole.where("shared >= 0.5 * either"))
