@@ -90,3 +90,31 @@ def test_equal_records_are_counted_by_class(spark, tmp_path, monkeypatch):
     r = Records(spark, folder)
     want = evaluate.choose_thresholds(r.references, r.truth, r.scored)
     assert {k: round(x, 9) for k, x in best.items()} == {k: round(x, 9) for k, x in want.items()}
+
+
+def test_trees_learn_from_classes_of_references(spark, tmp_path, monkeypatch):
+    from linkloom.functions import text as X
+    from linkloom.operators import features, model
+    from linkloom.plans.queries import _part_features
+    from linkloom.plans.records import Records
+    from linkloom.session import Scratch
+    from pyspark.sql import functions as F
+
+    kinds = [("blue ring", "Brand#1", "LARGE", 3), ("Blue Ring", "Brand#1", "LARGE", 3), ("blue ring ltd", "Brand#1", "LARGE", 13), ("hot bolt", "Brand#1", "LARGE", 3), ("", "Brand#1", "LARGE", 13)]
+    rows = [(192 * (i // 15) * 5 + i % 15, *kinds[i % 5]) for i in range(180)]
+    spark.createDataFrame(rows, "p_partkey long, p_name string, p_brand string, p_type string, p_size int").write.parquet(f"{tmp_path}/part.parquet")
+    written, table = [], Scratch.table
+    monkeypatch.setattr(Scratch, "table", lambda self, name, df: (out := table(self, name, df), written.append(out.count()))[0])
+    got = {(r.qid, r.tid): r for r in entry.queries()["gbt_oof_scores"](spark, str(tmp_path)).collect()}
+    name = {k: n.lower() for k, n, *_ in rows}
+    assert {k: r.label for k, r in got.items()} == {(q, t): int(name[q] == name[t]) for q in name for t in name if q % 3 == 0 and t % 3}
+    assert max(written) < len(got) / 5  # no row for each pair
+    # as trees that learn from each pair by itself
+    r = Records(spark, str(tmp_path))
+    names = r.part_records.select("key", F.lower("name").alias("name"))
+    pairs = _part_features(r).join(names.toDF("qid", "qn"), "qid").join(names.toDF("tid", "tn"), "tid")
+    pairs = pairs.withColumn("label", (F.col("qn") == F.col("tn")).cast("int")).withColumn("fold", X.hash_bucket(F.col("qid"), buckets=3, seed=1))
+    told = [f for f in features.FEATURES if not f.startswith("name_")]
+    for row in model.out_of_fold(pairs, told, maxIter=5, maxDepth=3).collect():
+        mine = got[row.qid, row.tid]
+        assert mine.fold == row.fold and abs(mine.score - row.score) < 1e-4
