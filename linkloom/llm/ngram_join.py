@@ -4,7 +4,13 @@ Rare-first prefix filtering with length, positional and suffix filters; a pair i
 verified once. Texts become sets of 64-bit shingle hashes; equal sets become one
 node, named by a hash of the set, so groups of copies never meet in the join.
 
-1.  *Counts.* Each task reads its texts once and deals their shingles to buckets by the
+0.  *Heads.* The head of a set is its smallest hashes: a little more than the quarter that two
+    linked sets may lack. Two linked sets share a good part of their heads, so a set whose head
+    shares less with all others cannot have a link; with text that is mostly original three
+    sets of four go here, and with them most of what would travel: a shingle takes its node's
+    name along, as in many buckets few shingles of a set meet. Heads travel without sizes. The
+    sets left are told by a Bloom filter of their texts, which lets some more in but none out.
+1.  *Counts.* Each task reads the texts left and deals their shingles to buckets by the
     top hash bits, in packed arrays with one node name per run, not one row per shingle.
     A bucket counts, for each shingle, the different sets that hold it.
 2.  *Prefixes.* Shingles that two sets share go back to their nodes. All others
@@ -38,11 +44,13 @@ from pyspark.sql import functions as F
 
 from linkloom.llm.words import WordHashes, deal_rows, mix, runs, slices, tidied, windows
 from linkloom.operators.graph import connected_components
-from linkloom.session import Scratch, partitions_for
+from linkloom.session import Scratch, partitions_for, shuffle_partitions
 
 _LOW = np.uint64((1 << 48) - 1)
 _FLUSH = 400_000
 _BLOCK_NODES, _BLOCK_SHINGLES = 1000, 500_000
+_HEAD_STEP, _HEAD_BYTES, _BUCKET_SHINGLES = 16, 30 << 20, 1_300_000
+_FILTER_BITS, _FILTER_BLOCK, _FILTER_BLOCKS = 16, 1 << 15, 1 << 13
 
 
 def shingle_set(words: list[bytes], k: int, hashes: WordHashes) -> np.ndarray:
@@ -59,6 +67,72 @@ def set_name(shingles: np.ndarray) -> int:
         return int(mix(np.array([one], np.uint64) ^ mix(np.array([two], np.uint64))).view(np.int64)[0])
 
 
+def head_length(n: int, num: int, den: int) -> int:
+    """How many of n shingles, the smallest first, make a set's head.
+
+    Sets x and y that are linked share s >= ceil(num * max(|x|, |y|) / den) shingles. For any e <= s, the e smallest shared ones are
+    among the first |x| - s + e of x, and of y likewise. With e the smaller of both sets' ``1 + n // step``, both heads hold these e.
+    """
+    least = -(-n * num // den)
+    return n - least + min(1 + n // _HEAD_STEP, least)
+
+
+def head_hits(num: int, den: int) -> F.Column:
+    """How many shingles of its head a set of ``n`` must share at least to have a link: the e above for the smallest set that it can be linked with."""
+    least = f"((n * {num} + {den - 1}) div {den})"
+    return F.expr(f"least(1 + {least} div {_HEAD_STEP}, ({least} * {num} + {den - 1}) div {den})")
+
+
+class HashFilter:
+    """A Bloom filter of 64-bit hashes in blocks that are made apart: 2 bytes a hash up to 16 million, 32 MB at most; then it lets more in."""
+
+    def __init__(self, blocks: int):
+        self.blocks, self.bits = blocks, np.zeros((blocks, _FILTER_BLOCK // 8), np.uint8)
+
+    @staticmethod
+    def places(hashes: np.ndarray) -> list[np.ndarray]:
+        mixed = mix(hashes.view(np.uint64))
+        return [(mixed >> np.uint64(15 * i)).astype(np.int64) % _FILTER_BLOCK for i in range(4)]
+
+    @classmethod
+    def of(cls, near: DataFrame, size: int) -> HashFilter:
+        found = cls(min(max(1, -(-size * _FILTER_BITS // _FILTER_BLOCK)), _FILTER_BLOCKS))
+        blocks = near.select(F.pmod("hash", F.lit(found.blocks)).cast("int").alias("block"), "hash")
+        blocks = blocks.repartition(min(found.blocks, shuffle_partitions(near.sparkSession)), "block").mapInArrow(tidied(_filter_blocks), "block int, bits binary")
+        for row in blocks.collect():
+            found.bits[row["block"]] = np.frombuffer(row["bits"], np.uint8)
+        return found
+
+    def holds(self, hashes: np.ndarray) -> np.ndarray:
+        block, out = hashes % self.blocks, np.ones(len(hashes), bool)
+        for at in self.places(hashes):
+            out &= (self.bits[block, at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).astype(bool)
+        return out
+
+
+def _filter_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    bits: dict[int, np.ndarray] = {}
+    for batch in batches:
+        block, places = np.asarray(batch.column(0)), HashFilter.places(np.asarray(batch.column(1)))
+        order = np.argsort(block, kind="stable")
+        cut = runs(block[order])
+        for a, b in zip(cut[:-1], cut[1:], strict=True):
+            own = bits.setdefault(int(block[order[a]]), np.zeros(_FILTER_BLOCK, np.uint8))
+            for at in places:
+                own[at[order[a:b]]] = 1
+    for block, own in bits.items():
+        yield pa.record_batch([pa.array([block], pa.int32()), pa.array([np.packbits(own).tobytes()], pa.binary())], ["block", "bits"])
+
+
+def _narrow(x: np.ndarray) -> bytes:
+    """Unsigned numbers in as few bytes each as the largest needs."""
+    return x.astype(np.min_scalar_type(x.max(initial=0))).tobytes()
+
+
+def _widened(data: bytes, n: int) -> np.ndarray:
+    return np.frombuffer(data, f"<u{len(data) // n}").astype(np.uint32)
+
+
 def _pack48(x: np.ndarray) -> bytes:
     return np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]).tobytes()
 
@@ -80,9 +154,11 @@ def bucket_of(tokens: np.ndarray, buckets: int) -> np.ndarray:
     return ((tokens >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int32)
 
 
-def _packets(k: int, buckets: int):
+def _packets(k: int, buckets: int, head: tuple[int, int] | None = None, among: HashFilter | None = None):
     """(id, hash, text) -> shingles dealt to buckets, and a record of facts for each row. Copies within a flush are sent once.
 
+    head: (num, den) deals only the sets' heads, mixed anew as they are no even sample of the hashes, and no sizes.
+    among: only texts whose hash it holds, and no facts.
     Up to 65,536 buckets a bucket tells at least a shingle's top bits, and 48 bits of it travel; beyond that all 64 do.
     """
     packed = _pack48 if buckets <= 1 << 16 else lambda x: x.astype("<u8").tobytes()
@@ -98,7 +174,7 @@ def _packets(k: int, buckets: int):
         for a, b in zip(cut[:-1], cut[1:], strict=True):
             r = runs(owner[a:b])
             own = owner[a:b][r[:-1]]
-            rows.append((int(bucket[a]), names[own].tobytes(), sizes[own].tobytes(), np.diff(r).astype(np.uint32).tobytes(), packed(tokens[a:b]), None))
+            rows.append((int(bucket[a]), names[own].tobytes(), None if head else _narrow(sizes[own]), _narrow(np.diff(r)), packed(tokens[a:b]), None))
         return rows
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -111,12 +187,16 @@ def _packets(k: int, buckets: int):
             to = int(mix(known["hash"][:1].astype(np.uint64))[0] % np.uint64(buckets)) if len(known) else 0
             return deal_rows([*rows, *([(to, None, None, None, None, known.tobytes())] if facts else [])], _PACKET_KINDS)
 
+        if among:
+            batches = (b.filter(pa.array(among.holds(np.asarray(b.column("hash"))))) for b in batches)
         for batch in slices(batches, "text"):
             for key, h, text in zip(*(batch.column(c).to_pylist() for c in ("id", "hash", "text")), strict=True):
                 s = shingle_set((text or "").encode().lower().split(), k, hashes)
                 name = set_name(s)
-                facts.append((key or 0, key is not None, h, len(s), name))
+                if not among:
+                    facts.append((key or 0, key is not None, h, len(s), name))
                 if len(s) and name not in seen:
+                    s = mix(s[: head_length(len(s), *head)]) if head else s
                     seen.add(name), nodes.append(name), sets.append(s)
                     held += len(s)
                 if held >= _FLUSH or len(facts) >= _FLUSH // 8:
@@ -124,7 +204,7 @@ def _packets(k: int, buckets: int):
                     nodes, sets, held, facts = [], [], 0, []
                     if len(seen) > 1_000_000:
                         seen.clear()
-        if facts:
+        if facts or nodes:
             yield flush()
 
     return run
@@ -142,8 +222,11 @@ _SHARED = "owners int, nodes binary, sizes binary, counts binary, tokens binary,
 _SHARED_KINDS = {"owners": pa.int32()} | dict.fromkeys(("nodes", "sizes", "counts", "tokens", "dfs", "facts"), pa.binary())
 
 
-def _shared(owners: int, buckets: int):
-    """A bucket's packets -> the shingles in two sets or more, with their counts, dealt to their nodes' partitions; facts go through."""
+def _shared(owners: int, buckets: int, heads: bool = False):
+    """A bucket's packets -> the shingles in two sets or more, with their counts, dealt to their nodes' partitions; facts go through.
+
+    heads: of each node only how many of its shingles are shared.
+    """
     unpacked = _unpack48 if buckets <= 1 << 16 else lambda data: np.frombuffer(data, np.uint64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -160,8 +243,8 @@ def _shared(owners: int, buckets: int):
         for bucket in list(held):
             packets = held.pop(bucket)
             node = np.concatenate([np.frombuffer(p[0], np.int64) for p in packets])
-            size = np.concatenate([np.frombuffer(p[1], np.uint32) for p in packets])
-            count = np.concatenate([np.frombuffer(p[2], np.uint32) for p in packets])
+            size = None if heads else np.concatenate([_widened(p[1], len(p[0]) // 8) for p in packets])
+            count = np.concatenate([_widened(p[2], len(p[0]) // 8) for p in packets])
             token = np.concatenate([unpacked(p[3]) for p in packets])
             del packets
             run_of = np.repeat(np.arange(len(node), dtype=np.int32), count)
@@ -189,16 +272,32 @@ def _shared(owners: int, buckets: int):
             order = np.lexsort((who, owner))
             owner, who, df = owner[order], who[order], df[order]
             token = token[order] if buckets > 1 << 16 else token[order] | np.uint64(bucket) << np.uint64(48)
-            size, cut, rows = size[run_of[order]], runs(owner), []
+            cut, rows = runs(owner), []
+            size = None if heads else size[run_of[order]]
             for a, b in zip(cut[:-1], cut[1:], strict=True):
                 r = runs(who[a:b])
                 at = a + r[:-1]
+                if heads:
+                    rows.append((int(owner[a]), who[at].tobytes(), None, _narrow(np.diff(r)), None, None, None))
+                    continue
                 rows.append((int(owner[a]), who[at].tobytes(), size[at].tobytes(), np.diff(r).astype(np.uint32).tobytes(), token[a:b].tobytes(), df[a:b].tobytes(), None))
             yield deal_rows(rows, _SHARED_KINDS)
 
     return run
 
 
+def _hits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Counts of shared shingles by bucket -> by node."""
+    nodes, hits = [], []
+    for batch in batches:
+        for node, n in zip(batch.column("nodes").to_pylist(), batch.column("counts").to_pylist(), strict=True):
+            nodes.append(np.frombuffer(node, np.int64))
+            hits.append(_widened(n, len(nodes[-1])))
+    if nodes:
+        names, slot = np.unique(np.concatenate(nodes), return_inverse=True)
+        yield pa.record_batch([pa.array(names), pa.array(np.bincount(slot, np.concatenate(hits)).astype(np.int64))], ["node", "hits"])
+
+
 _SETS = "node long, n int, alone int, shared binary, prefix array<long>"
 
 
@@ -387,17 +486,27 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     if not 0 < num <= den:
         raise ValueError("similarity must be over 0 and at most 1")
     scratch = Scratch(spark, "ngram-join")
-    parts = partitions_for(docs, text_col, 10 << 20)
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("hash"), F.col(text_col).alias("text"))
 
-    # texts are read once: facts of rows travel with the packets
-    packets = texts.mapInArrow(tidied(_packets(k, parts)), _PACKETS)
-    shared = scratch.table("shared", packets.repartitionById(parts, "bucket").mapInArrow(tidied(_shared(parts, parts)), _SHARED))
-    facts = scratch.table("facts", shared.where("owners < 0").select("facts").mapInArrow(tidied(_unpacked_facts), "id long, hash long, n long, name long"))
-    shared = shared.where("owners >= 0").drop("facts")
-    sets = scratch.table("sets", shared.repartitionById(parts, "owners").mapInArrow(tidied(_sets(num, den)), _SETS))
+    # facts of rows travel with the packets of the heads
+    parts = partitions_for(docs, text_col, _HEAD_BYTES)
+    owners = max(shuffle_partitions(spark), parts // 8)
+    packets = texts.mapInArrow(tidied(_packets(k, parts, head=similarity)), _PACKETS)
+    heads = scratch.table("heads", packets.repartitionById(parts, "bucket").mapInArrow(tidied(_shared(owners, parts, heads=True)), _SHARED))
+    facts = scratch.table("facts", heads.where("owners < 0").select("facts").mapInArrow(tidied(_unpacked_facts), "id long, hash long, n long, name long"))
+    nodes = scratch.table("nodes", facts.where("n > 0").groupBy(F.col("name").alias("node")).agg(F.min("id").alias("lowest"), F.count("*").alias("copies"), F.min("hash").alias("hash"), F.max("n").alias("n")))
+    hits = heads.where("owners >= 0").select("owners", "nodes", "counts").repartitionById(owners, "owners").mapInArrow(tidied(_hits), "node long, hits long")
+    near = scratch.table("near", nodes.join(hits, "node").where(F.col("hits") >= head_hits(num, den)).select("hash", "n"))
+    nodes = nodes.drop("hash", "n")
+
+    # one text of each set left, and those that the filter takes for one, are read again
+    many, shingles = near.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+    among = HashFilter.of(near, many)
+    parts = max(shuffle_partitions(spark), -(-shingles // _BUCKET_SHINGLES))
+    packets = texts.mapInArrow(tidied(_packets(k, parts, among=among)), _PACKETS).repartitionById(parts, "bucket")
+    shared = packets.mapInArrow(tidied(_shared(parts, parts)), _SHARED).drop("facts").repartitionById(parts, "owners")
+    sets = scratch.table("sets", shared.mapInArrow(tidied(_sets(num, den)), _SETS))
 
-    nodes = scratch.table("nodes", facts.where("n > 0").groupBy(F.col("name").alias("node")).agg(F.min("id").alias("lowest"), F.count("*").alias("copies")))
     # only nodes with a prefix left can have links; a component's label is its smallest node, which is never null
     labels = scratch.table("labels", sets.select("node", F.col("node").alias("label")))
     first = labels

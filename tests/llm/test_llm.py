@@ -137,6 +137,47 @@ def test_ngram_packets_of_many_buckets(parts):
     assert {n: len(x) for n, x in got.items()} == {n: k for n, k in want.items() if k}
 
 
+def test_ngram_heads_carry_little_in_many_buckets():
+    """Where each shingle is alone in its bucket, node names would travel at four times the text's size; those of the heads do not."""
+    import pyarrow as pa
+
+    rng = random.Random(8)
+    texts = [" ".join(f"{rng.randrange(10**6):x}" for _ in range(300)) for _ in range(200)]
+    batch = pa.record_batch([pa.array(range(200), pa.int64()), pa.array(range(200), pa.int64()), pa.array(texts, pa.string())], ["id", "hash", "text"])
+    packets = [r for b in ngram_join._packets(5, 4800, head=(3, 4))(iter([batch])) for r in b.to_pylist() if not r["facts"]]
+    assert len({r["bucket"] for r in packets}) > 4500  # heads are the smallest hashes, and use all buckets nevertheless
+    assert sum(len(r[c] or b"") for r in packets for c in ("nodes", "sizes", "counts", "tokens")) < sum(map(len, texts))
+
+
+@pytest.mark.parametrize(("step", "similarity"), [(16, (3, 4)), (2, (3, 4)), (16, (1, 2)), (3, (9, 10)), (16, (1, 1))])
+def test_heads_of_linked_sets_share_enough(spark, monkeypatch, step, similarity):
+    monkeypatch.setattr(ngram_join, "_HEAD_STEP", step)
+    (num, den), rng = similarity, random.Random(9)
+    need = [None, *(r[0] for r in spark.range(1, 400).withColumnRenamed("id", "n").sort("n").select(ngram_join.head_hits(num, den)).collect())]
+    linked = 0
+    for _ in range(3000):
+        n = rng.randint(1, 150)
+        both = {rng.random() for _ in range(n)}
+        x, y = (sorted(both | {rng.random() * rng.choice([1, 1, 0.2]) for _ in range(rng.randint(0, 1 + n * (den - num) // den))}) for _ in range(2))
+        if den * len(both) >= num * len({*x, *y}):
+            linked += 1
+            shared = len({*x[: ngram_join.head_length(len(x), num, den)]} & {*y[: ngram_join.head_length(len(y), num, den)]})
+            assert shared >= max(need[len(x)], need[len(y)]) > 0
+    assert linked > 300
+
+
+@pytest.mark.parametrize("blocks", [1, 3])
+def test_hash_filter_holds_every_hash(spark, monkeypatch, blocks):
+    """Also when it is full."""
+    monkeypatch.setattr(ngram_join, "_FILTER_BLOCKS", blocks)
+    hashes = np.random.default_rng(3).integers(-(2**63), 2**63, 5000)
+    some = ngram_join.HashFilter.of(spark.createDataFrame([(int(h),) for h in hashes[:4000]], "hash long"), 4000)
+    assert some.blocks == min(blocks, 2) and some.holds(hashes[:4000]).all()
+    assert some.holds(hashes[4000:]).mean() < 0.2
+    none = ngram_join.HashFilter.of(spark.createDataFrame([], "hash long"), 0)
+    assert not none.holds(hashes).any()
+
+
 def test_ngram_join_through_rows_without_an_id(spark):
     """A near copy with a null id links its neighbours; two texts of one id are two rows."""
     words = [f"w{i}" for i in range(80)]
