@@ -4,7 +4,7 @@ Super-k-mer partitioning. A window is ``k`` consecutive words of one document. I
 minimiser is the smallest hash among its runs of ``m`` words, so equal windows have
 equal minimisers, and consecutive windows mostly share one. Such a run of windows
 travels as one packed string (a super-k-mer) to the bucket of its minimiser, about
-three words a window in place of twenty. A bucket numbers its words, sorts the
+three words a window in place of twenty. A bucket numbers its words in one pass of Arrow, sorts the
 windows and compares those that look equal word for word, so counts are exact.
 
 A super-k-mer that a task meets again in the same flush is not sent: its windows
@@ -150,6 +150,20 @@ def _packets(k: int, m: int, buckets: int, common: np.ndarray):
     return run
 
 
+def word_numbers(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Lines of words with one space between -> a number for each word, equal for equal words only, and the words of each line.
+
+    A word is taken with the byte after it, made a space everywhere: so the words lie end to end, and Arrow numbers them where they are.
+    """
+    data = np.frombuffer(b"\n".join([*blobs, b""]), np.uint8)
+    ends = data == 10
+    after = np.flatnonzero(ends | (data == 32))
+    lengths = np.diff(np.flatnonzero(ends[after]), prepend=-1)
+    data = np.where(ends, np.uint8(32), data)
+    words = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(after), [None, pa.py_buffer(np.r_[0, after + 1]), pa.py_buffer(data)])
+    return words.dictionary_encode().indices.to_numpy().view(np.uint32), lengths
+
+
 def window_hashes(items: np.ndarray, k: int) -> np.ndarray:
     """A hash of the k items from each place on, by doubling; the last k - 1 places hold no whole window."""
     with np.errstate(over="ignore"):
@@ -218,24 +232,18 @@ def _marks(k: int, owners: int):
             for row in zip(*(batch.column(i).to_pylist() for i in range(10)), strict=True):
                 held.setdefault(row[0], []).append(row[1:])
         for bucket in list(held):
-            number: dict[bytes, int] = {}
-            items, lengths, ids, tags, starts, m_ids, m_tags, m_starts, m_counts = ([] for _ in range(9))
+            blobs, ids, tags, starts, m_ids, m_tags, m_starts, m_counts = ([] for _ in range(8))
             packets = held.pop(bucket)
             while packets:
                 size, blob, *rest = packets.pop()
                 for to, data, kind in zip((ids, tags, starts, m_ids, m_tags, m_starts, m_counts), rest, (np.int64, np.int32, np.uint32, np.int64, np.int32, np.uint32, np.uint32), strict=True):
                     to.append(np.frombuffer(data, kind))
-                if not size:
-                    continue
-                for text in pa.decompress(blob, decompressed_size=size - 1, codec="zstd", asbytes=True).split(b"\n"):
-                    words = text.split()
-                    lengths.append(len(words))
-                    items.append(np.fromiter((number.setdefault(w, len(number)) for w in words), np.uint32, len(words)))
-            del number
+                if size:
+                    blobs.append(pa.decompress(blob, decompressed_size=size - 1, codec="zstd", asbytes=True))
             m_id, m_tag, m_start, m_count = np.concatenate(m_ids), np.concatenate(m_tags), np.concatenate(m_starts).astype(np.int64), np.concatenate(m_counts).astype(np.int64)
-            if lengths:
-                item, length = np.concatenate(items), np.array(lengths)
-                del items
+            if blobs:
+                item, length = word_numbers(blobs)
+                del blobs
                 n = length - k + 1
                 begin = np.cumsum(length) - length
                 step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)

@@ -254,6 +254,33 @@ def test_common_runs_of_words_share_no_bucket(spark):
     assert got == brute_dedup([(i, " ".join(w)) for i, w in rows])
 
 
+def test_bucket_words_are_numbered_exactly():
+    rng, words = random.Random(5), [b"a", b"ab", b"b", "é".encode(), "\u2003x".encode(), b"\x00", b"a\x00", b"\x1c", b"w" * 5000, b"."]
+    lines = [[rng.choice(words) for _ in range(rng.randint(1, 30))] for _ in range(60)]
+    blobs = [b"\n".join(b" ".join(w) for w in lines[i:j]) for i, j in ((0, 1), (1, 40), (40, 60))]
+    items, lengths = substring_dedup.word_numbers(blobs)
+    number = {}
+    assert lengths.tolist() == [len(w) for w in lines]
+    assert items.tolist() == [number.setdefault(w, len(number)) for line in lines for w in line]
+
+
+def test_bucket_words_are_not_handled_one_by_one():
+    """A bucket's work in Python is by super-k-mer at most: a call for each word was most of the operator's CPU time."""
+    import cProfile
+    import pstats
+
+    import pyarrow as pa
+
+    rng = random.Random(6)
+    texts = [" ".join(f"{rng.randrange(3000):x}" for _ in range(400)) for _ in range(100)]
+    batch = pa.record_batch([pa.array(range(100), pa.int64()), pa.array([0] * 100, pa.int32()), pa.array([*texts[:99], texts[0]], pa.string())], ["id", "tag", "text"])
+    packets = list(substring_dedup._packets(20, 4, 1, np.array([], np.uint64))(iter([batch])))
+    profile = cProfile.Profile()
+    marks = profile.runcall(lambda: list(substring_dedup._marks(20, 1)(iter(packets))))
+    assert [sum(np.frombuffer(n, np.uint32).sum() for b in marks for n in b.column("counts").to_pylist())] == [400 - 19]
+    assert pstats.Stats(profile).total_calls < 99 * 400 / 4
+
+
 def test_substring_dedup_edges(spark):
     long = " ".join(["the same words again and again"] * 30)
     rows = [(1, long), (1, long), (None, long), (None, None)]
