@@ -118,3 +118,31 @@ def test_trees_learn_from_classes_of_references(spark, tmp_path, monkeypatch):
     for row in model.out_of_fold(pairs, told, maxIter=5, maxDepth=3).collect():
         mine = got[row.qid, row.tid]
         assert mine.fold == row.fold and abs(mine.score - row.score) < 1e-4
+
+
+def test_features_of_retrieved_pairs_carry_no_record_by_pair(spark, tmp_path, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from linkloom.operators import features, pair_cells
+    from linkloom.plans.queries import _pairs
+    from linkloom.plans.records import Records
+
+    rng, letters = random.Random(11), "abcdeé𝒳1"
+    word = lambda: "".join(rng.choices(letters, k=rng.choice((1, 2, 4))))
+    texts = ["", "acme ltd", "12345 rd", *[" ".join([*(word() for _ in range(rng.choice((3, 6, 9)))), *rng.choices(("rd", "54321", "77", "x"), k=4)]) for _ in range(37)]]
+    folder = write(spark, tmp_path, [(i, rng.choice(("en", "fr", None)), rng.choice(texts)) for i in range(180)])
+    monkeypatch.setattr(pair_cells, "QUERIES", 25)
+    monkeypatch.setattr(pair_cells, "TARGETS", 35)
+    common = pair_cells._common
+    got = entry.queries()["pair_features_native"](spark, folder)
+    plan = got._jdf.queryExecution().toString()
+    assert "CartesianProduct" in plan and "Exchange" not in plan
+    monkeypatch.setattr(pair_cells, "_common", lambda records, rows: {c: x[:3] for c, x in common(records, rows).items()})
+    hashed = entry.queries()["pair_features_native"](spark, folder)  # nearly all terms by their hashes
+    r = Records(spark, folder)
+    q, t = (features.views(side, normalized=True).select(key, "country", "v") for side, key in ((r.references, "qid"), (r.targets, "tid")))
+    plain = features.pair_features(features.join_pairs(_pairs(r).select("qid", "tid", "source", "rank", "retrieval_score", "passes"), q, t), edit_based=False)
+    plain = plain.select("qid", "tid", *[F.round(F.col(c).cast("double"), 5).alias(c) for c in features.FEATURES if c in plain.columns])
+    want = sorted(tuple(x) for x in plain.collect())
+    assert len(want) > 500 and got.columns == hashed.columns == plain.columns and got.dtypes == plain.dtypes
+    assert sorted(tuple(x) for x in got.collect()) == want == sorted(tuple(x) for x in hashed.collect())
