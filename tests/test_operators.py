@@ -302,3 +302,35 @@ def test_overlaps_leave_pairs_under_the_least_share_out_where_they_are_counted(s
     whole = overlap.overlaps(*sides, ["country", "name"])
     assert 0 < whole.where("shared < 0.5 * either").count()
     assert rows(overlap.overlaps(*sides, ["country", "name"], least=0.5)) == rows(whole.where("shared >= 0.5 * either"))
+
+
+def test_retrieval_cells_hold_few_queries_at_once():
+    """Statistics of a cell are held once, its queries come some at a time, over any batches."""
+    import pyarrow as pa
+
+    from linkloom.operators import retrieval as R
+
+    schema = pa.schema([("qid", pa.int64()), ("source", pa.int32()), ("country", pa.string()), ("field", pa.string()), ("term", pa.string()), ("df", pa.int64()), ("place", pa.int32())])
+    rows, want = [], []
+    for cell in ("x", "y", "z"):
+        stats = [] if cell == "y" else sorted((1 + i % 7, f"{'na'[i % 2]}:{cell}{i}") for i in range(40))
+        rows += [(cell, 0, None, None, t, n) for n, t in stats]
+        for q in range(30):
+            terms = [f"{'na'[i % 2]}:{cell}{i}" for i in range(q, 45, 3)]
+            rows.append((cell, 1, q, terms, None, None))
+            for field in "na":
+                met = [(n, t) for n, t in stats if t in terms and t.startswith(field)][:4]
+                want += [(q, 2, cell, field, t, n, i) for i, (n, t) in enumerate(met)]
+    names = ["cell", "side", "qid", "terms", "term", "df"]
+    types = [pa.string(), pa.int32(), pa.int64(), pa.list_(pa.string()), pa.string(), pa.int64()]
+    whole = pa.table({n: pa.array(x, t) for n, x, t in zip(names, zip(*rows, strict=True), types, strict=True)})
+    whole = whole.append_column("source", pa.array([2] * len(rows), pa.int32())).append_column("country", whole["cell"])
+    for size in (1, 7, 1000):
+        worked = []
+
+        def work(held, part):
+            worked.append(part.num_rows)
+            return R._rarest(held, part, 4, schema)
+
+        got = [tuple(r.values()) for b in R._streamed(iter(whole.to_batches(max_chunksize=size)), ["term", "df"], R._stats_of, work, lambda part: 5) for r in b.to_pylist()]
+        assert sorted(got) == sorted(want) and max(worked) <= 5
